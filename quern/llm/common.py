@@ -181,14 +181,25 @@ def removed(spark: SparkSession, *frames: DataFrame) -> None:
 
 
 def labelled_ids(labels: DataFrame, label: str, limit: int, keep: Column | None = None) -> DataFrame:
-    """At most `limit` labelled ids (doc_id, y), chosen by a hash of the id; repeated ids count once, with their largest label."""
+    """At most `limit` ids (doc_id, y) of each class, chosen by a hash of the id; repeated ids count once, with their largest label."""
     ids = labels.select("doc_id", F.col(label).cast("int").alias("y")).where(F.col("doc_id").isNotNull() & F.col("y").isin(0, 1))
     if keep is not None:
         ids = ids.where(keep)
-    return ids.groupBy("doc_id").agg(F.max("y").alias("y")).orderBy(F.xxhash64("doc_id"), "doc_id").limit(limit)
+    ids = ids.groupBy("doc_id").agg(F.max("y").alias("y"))
+    of = lambda y: ids.where(F.col("y") == y).orderBy(F.xxhash64("doc_id"), "doc_id").limit(limit)
+    return of(0).unionAll(of(1))
 
 
 def labelled_rows(documents: DataFrame, labels: DataFrame, label: str, limit: int, keep: Column | None = None) -> DataFrame:
-    """(doc_id, text, y) of the sampled labelled documents. The broadcast side has `limit` rows of two numbers at most."""
+    """(doc_id, text, y) of the sampled labelled documents. The broadcast side has 2 * `limit` rows of two numbers at most."""
     ids = labelled_ids(labels, label, limit, keep)
     return documents.select("doc_id", "text").join(F.broadcast(ids), "doc_id")
+
+
+def class_weights(labels: DataFrame, label: str, keep: Column | None = None) -> tuple[int, int]:
+    """Numbers of labelled rows of class 0 and 1 (all of them, not the sample)."""
+    rows = labels.where(F.col("doc_id").isNotNull() & F.col(label).isin(0, 1))
+    if keep is not None:
+        rows = rows.where(keep)
+    n = {int(r[0]): r[1] for r in rows.groupBy(label).count().collect()}
+    return n.get(0, 0), n.get(1, 0)

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 
 from quern.llm import common as C
-from quern.llm import quality_rules
+from quern.llm import language_id, quality_classifier, quality_rules, toxicity
 
 
 def op1_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -13,5 +13,23 @@ def op1_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality_rules.score(documents, quality_rules.fit(documents, labels))
 
 
-QUERIES = {f.__name__: f for f in (op1_quality_rules,)}
+def op2_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    documents, labels = C.table(spark, sf_dir, "documents", "doc_id", "text"), C.table(spark, sf_dir, "labels", "doc_id", "toxic")
+    held_out = C.crc_mod(5) == 0
+    return toxicity.score(documents, toxicity.fit(documents, labels, keep=~held_out), held_out)
+
+
+def op3_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    documents = C.table(spark, sf_dir, "documents", "doc_id", "text", "lang")
+    held_out = C.crc_mod(3) == 1
+    return language_id.predict(documents, language_id.fit(documents, keep=~held_out), held_out)
+
+
+def op9_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
+    documents, labels = C.table(spark, sf_dir, "documents", "doc_id", "text"), C.table(spark, sf_dir, "labels", "doc_id", "quality")
+    held_out = C.crc_mod(3) == 1
+    return quality_classifier.score(documents, quality_classifier.fit(documents, labels, keep=~held_out), held_out)
+
+
+QUERIES = {f.__name__: f for f in (op1_quality_rules, op2_toxicity, op3_language_id, op9_quality_classifier)}
 SQL: dict[str, str] = {}
