@@ -4,9 +4,10 @@ Sentences are read word by word.  A word is lower-cased, digits and signs that s
 letters are read as those letters, and everything else that is no letter is dropped, so
 `i.d-i0t` reads as `idiot`; four or more single letters in a row are read as one word too.
 
-The kernel of two words sums, over the subsequences of three letters that both have, the
+The kernel of two words sums, over the subsequences of four letters that both have, the
 product of their weights; an occurrence over s letters weighs DECAY ** s, so gaps and
-inserted letters lower a match and do not break it.  It is normalised.  The machine is
+inserted letters lower a match and do not break it.  A word's start and end count as
+letters.  The kernel is normalised.  The machine is
 trained on the words of labelled sentences: insults are the words that explain the toxic
 documents (with spellings that have letters inserted), the other class are words of clean
 sentences.  Its features are the kernel's values at landmark words times the inverse root
@@ -35,55 +36,62 @@ from quern.llm import linear_svm as S
 TRAIN_ROWS = 3_000
 DECAY = 0.6
 LANDMARKS = 160
-#: Letters a-z are 1-26, other letters 27; 0 is no letter.
-LETTERS = 28
+#: Letters a-z are 1-26, others 27-30, a word's start 31 and end 32; 0 is no letter.
+LETTERS, START, END = 33, 31, 32
+SPACE = LETTERS**4
 #: Signs read as letters.
 LOOKS_LIKE = {"0": "o", "1": "i", "3": "e", "4": "a", "5": "s", "7": "t", "@": "a", "$": "s"}
-#: A longer word is read in windows of this many letters.
-WINDOW = 14
+#: A longer word (with its start and end) is read in windows of this many letters.
+WINDOW = 12
 
 _CLASS = np.zeros(256, np.uint8)
 _CLASS[97:123] = _CLASS[65:91] = np.arange(1, 27)
-_CLASS[0xC0:] = 27  # the lead byte of a letter outside ASCII; its other bytes are dropped
+_CLASS[0x80:0xC0] = 27 + (np.arange(0x80, 0xC0) & 3)  # a letter outside ASCII goes by its later bytes
 for _sign, _letter in LOOKS_LIKE.items():
     _CLASS[ord(_sign)] = ord(_letter) - 96
 
 
 def _subsequences(length: int) -> tuple[np.ndarray, np.ndarray]:
-    """Places (k, 3) of all subsequences of three letters of a word, and their weights."""
-    at = np.array(list(itertools.combinations(range(length), 3)), np.int64).reshape(-1, 3)
-    return at, (DECAY ** (at[:, 2] - at[:, 0] + 1)).astype(np.float32) if len(at) else np.zeros(0, np.float32)
+    """Places (k, 4) of all subsequences of four letters of a word, and their weights."""
+    at = np.array(list(itertools.combinations(range(length), 4)), np.int64)
+    return at, (DECAY ** (at[:, 3] - at[:, 0] + 1)).astype(np.float32)
 
 
-_AT = {n: _subsequences(n) for n in range(3, WINDOW + 1)}
+_AT = {n: _subsequences(n) for n in range(5, WINDOW + 1)}
 
 
 def codes(letters: np.ndarray) -> np.ndarray:
     """Codes (words, k) of the subsequences of equally long words."""
     at, _ = _AT[letters.shape[1]]
     x = letters.astype(np.int32)
-    return (x[:, at[:, 0]] * LETTERS + x[:, at[:, 1]]) * LETTERS + x[:, at[:, 2]]
+    return ((x[:, at[:, 0]] * LETTERS + x[:, at[:, 1]]) * LETTERS + x[:, at[:, 2]]) * LETTERS + x[:, at[:, 3]]
 
 
-def by_length(words: pa.Array) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+def by_length(words: pa.Array, most: int = 10_000) -> Iterator[tuple[np.ndarray, np.ndarray]]:
     """(indices of words, their letters) for each length; a long word gives overlapping windows, a word under three letters nothing."""
     flat = C.Flat(words)
     size = np.diff(flat.off)
-    for n in range(3, WINDOW + 1):
-        at = np.flatnonzero(size == n)
-        if len(at):
-            yield at, flat.data[flat.off[at][:, None] + np.arange(n)]
-    at = np.flatnonzero(size > WINDOW)
-    step = WINDOW // 2
+    padded = np.full(len(flat.data) + 2 * flat.n, START, np.uint8)
+    off = flat.off + 2 * np.arange(flat.n + 1)
+    place = np.ones(len(padded), bool)
+    place[off[:-1]] = place[off[1:] - 1] = False
+    padded[place] = flat.data
+    padded[off[1:] - 1] = END
+    size = size + 2
+    for n in range(5, WINDOW + 1):
+        same = np.flatnonzero(size == n)
+        for i in range(0, len(same), most):
+            at = same[i : i + most]
+            yield at, padded[off[at][:, None] + np.arange(n)]
+    at, step = np.flatnonzero(size > WINDOW), WINDOW // 2
+    k = 0
     while len(at):
-        longest = size[at]
-        k = 0
-        while len(at):
-            start = np.minimum(k * step, size[at] - WINDOW)
-            yield at, flat.data[(flat.off[at] + start)[:, None] + np.arange(WINDOW)]
-            at = at[k * step < size[at] - WINDOW]
-            k += 1
-        del longest
+        for i in range(0, len(at), most):
+            part = at[i : i + most]
+            start = np.minimum(k * step, size[part] - WINDOW)
+            yield part, padded[(off[part] + start)[:, None] + np.arange(WINDOW)]
+        at = at[k * step < size[at] - WINDOW]
+        k += 1
 
 
 def norms(code: np.ndarray, weight: np.ndarray) -> np.ndarray:
@@ -97,15 +105,36 @@ def norms(code: np.ndarray, weight: np.ndarray) -> np.ndarray:
     return np.sqrt(np.bincount(start // c.shape[1], sums, len(code)))
 
 
-def vectors(words: pa.Array) -> np.ndarray:
-    """Normalised explicit vectors of a few words (landmarks); only the subsequences in use are columns there."""
-    out = np.zeros((len(words), LETTERS**3), np.float32)
-    for at, letters in by_length(words):
-        code, weight = codes(letters), _AT[letters.shape[1]][1]
-        for i, c in zip(at, code, strict=True):
-            if not out[i].any():
-                np.add.at(out[i], c, weight)
-    return out / np.maximum(np.linalg.norm(out, axis=1, keepdims=True), 1e-12)
+class Landmarks:
+    """Normalised vectors of a few words over the subsequences that they have."""
+
+    def __init__(self, words: pa.Array):
+        found, of, value = [], [], []
+        done = np.zeros(len(words), bool)
+        for at, letters in by_length(words):
+            code, weight = codes(letters), _AT[letters.shape[1]][1]
+            size = norms(code, weight)
+            for i, c, n in zip(at, code, size, strict=True):
+                if not done[i]:  # a long landmark goes by its first window
+                    done[i] = True
+                    found.append(c)
+                    of.append(np.full(len(c), i))
+                    value.append(weight / n)
+        codes_, of, value = (np.concatenate(v) for v in (found, of, value))
+        self.code, column = np.unique(codes_, return_inverse=True)
+        self.z = np.zeros((len(self.code) + 1, len(words)), np.float32)  # the last row: a subsequence of no landmark
+        np.add.at(self.z, (column, of), value)
+        self.column = np.full(SPACE, len(self.code), np.int32)
+        self.column[self.code] = np.arange(len(self.code))
+
+    def kernel(self, words: pa.Array) -> np.ndarray:
+        """Kernel values (words, landmarks); of a long word's windows, the largest."""
+        out = np.zeros((len(words), self.z.shape[1]), np.float32)
+        for at, letters in by_length(words, 200):
+            code, weight = codes(letters), _AT[letters.shape[1]][1]
+            k = np.einsum("wcm,c->wm", self.z[self.column[code]], weight) / norms(code, weight)[:, None]
+            out[at] = np.maximum(out[at], k)
+        return out
 
 
 @dataclass
@@ -115,22 +144,19 @@ class Model:
     sigmoid: tuple[float, float]
 
     def of_words(self, words: pa.Array) -> np.ndarray:
-        out = np.full(len(words), self.bias, np.float64)
-        out[:] = -1.0
+        """Values of the words, -1 at least: below that bar no word counts."""
+        out = np.full(len(words), -1.0)
         for at, letters in by_length(words):
             weight = _AT[letters.shape[1]][1]
-            for a in range(0, len(at), 20_000):
-                code = codes(letters[a : a + 20_000])
-                up = (self.weight[code] * weight).sum(1)
-                # a word under the bar without the norm's help needs no exact norm: it is at least the root of the sum of squares
-                low = np.sqrt((weight.astype(np.float64) ** 2).sum())
-                value = up / low
-                close = value + self.bias > -1.0
-                if close.any():
-                    value[close] = up[close] / norms(code[close], weight)
-                part = at[a : a + 20_000]
-                out[part] = np.maximum(out[part], value + self.bias)
-        return np.maximum(out, -1.0)
+            code = codes(letters)
+            up = (self.weight[code] * weight).sum(1)
+            # the vector's length is at least this, so most words need no exact one
+            least = np.sqrt((weight.astype(np.float64) ** 2).sum())
+            close = np.flatnonzero((up > 0) & (up / least + self.bias > -1.0))
+            if len(close):
+                part = at[close]
+                out[part] = np.maximum(out[part], up[close] / norms(code[close], weight) + self.bias)
+        return out
 
     def margin(self, texts: pa.Array) -> np.ndarray:
         """The largest value of a document's words, -1 at least."""
@@ -179,30 +205,35 @@ def words_of(texts: pa.Array) -> tuple[np.ndarray, pa.Array, np.ndarray]:
     return ids, distinct, np.searchsorted(doc, np.arange(flat.n + 1))
 
 
-def witnesses(ids: np.ndarray, first: np.ndarray, y: np.ndarray, n_words: int, least: int) -> np.ndarray:
-    """Words that explain the toxic documents: again and again the one in most toxic documents not yet explained, unless clean documents have it too."""
+def witnesses(ids: np.ndarray, first: np.ndarray, y: np.ndarray, n_words: int, least: int, enough: int = 3) -> np.ndarray:
+    """Words that explain the toxic documents: again and again the one in most toxic documents with fewer than `enough` such words, unless clean documents have it too. Near copies (equal by one min-hash) count as one document."""
     doc = C.doc_of(first)
     key = np.unique(ids * len(y) + doc)
     word, doc = key // len(y), key % len(y)
     clean = np.bincount(word[y[doc] == 0], minlength=n_words)
     use = y[doc] == 1
     word, doc = word[use], doc[use]
+    lowest = np.full(len(y), np.iinfo(np.int64).max)
+    np.minimum.at(lowest, doc, (C.mixed(word.astype(np.uint64) + np.uint64(99)) >> np.uint64(1)).astype(np.int64))
+    _, group, times = np.unique(lowest, return_inverse=True, return_counts=True)
+    share = 1.0 / times[group]
     start = np.searchsorted(word, np.arange(n_words + 1))
     by_doc = np.argsort(doc, kind="stable")
     doc_start = np.searchsorted(doc[by_doc], np.arange(len(y) + 1))
-    gain = np.bincount(word, minlength=n_words).astype(float)
-    found, open_ = [], y == 1
-    while True:
-        value = np.where(gain >= 20 * clean, gain - 5 * clean, -1)
-        w = int(value.argmax()) if len(value) else 0
-        if not len(value) or value[w] < least:
-            return np.array(found, np.int64)
+    gain = np.bincount(word, share[doc], minlength=n_words)
+    full, found, left = gain.copy(), [], np.full(len(y), enough)
+    while len(gain):
+        value = np.where((full >= 20 * clean) & (gain > 0), gain - 5 * clean, -1)
+        w = int(value.argmax())
+        if value[w] < least:
+            break
         found.append(w)
         for d in doc[start[w] : start[w + 1]]:
-            if open_[d]:
-                open_[d] = False
-                gain[word[by_doc[doc_start[d] : doc_start[d + 1]]]] -= 1
-        gain[w] = -1
+            left[d] -= 1
+            if not left[d]:
+                gain[word[by_doc[doc_start[d] : doc_start[d + 1]]]] -= share[d]
+        gain[w] = full[w] = -1
+    return np.array(found, np.int64)
 
 
 def spelled(words: list[bytes], rng: np.random.Generator, times: int = 6) -> list[bytes]:
@@ -220,43 +251,47 @@ def spelled(words: list[bytes], rng: np.random.Generator, times: int = 6) -> lis
 
 def fit_model(ids: np.ndarray, words: pa.Array, first: np.ndarray, y: np.ndarray, share: float, seed: int = 11) -> Model:
     """ids, first: the sampled documents' words; y: their labels; share: of toxic documents among all labelled ones."""
-    nothing = Model(np.zeros(LETTERS**3, np.float32), -1.0, (1.0, 0.0 if not len(y) else -4.0 if y.max() == 0 else 4.0))
+    nothing = Model(np.zeros(SPACE, np.float32), -1.0, (1.0, 0.0 if not len(y) else -4.0 if y.max() == 0 else 4.0))
     if not len(y) or y.min() == y.max():
         return nothing
     rng = np.random.default_rng(seed)
-    bad = witnesses(ids, first, y, len(words), max(2, int((y == 1).sum() // 300)))
+    bad = witnesses(ids, first, y, len(words), max(3, int((y == 1).sum() // 250)))
     if not len(bad):
         return nothing
     doc = C.doc_of(first)
     times = np.bincount(ids[y[doc] == 0], minlength=len(words))
+    in_toxic = np.bincount(ids[y[doc] == 1], minlength=len(words))
     good = np.flatnonzero(times > 0)
     good = good[np.argsort(-times[good], kind="stable")]
     often, rare = good[:1500], good[1500:]
-    good = np.concatenate([often, rng.choice(rare, min(len(rare), 4000), replace=False)])
+    good = np.concatenate([often, rng.choice(rare, min(len(rare), 3000), replace=False)])
     insults = words.take(pa.array(bad)).to_pylist()
     more = spelled(insults, rng)
-    x_words = pa.array(insults + more, pa.binary())
     half = LANDMARKS // 2
-    landmarks = pa.array((insults + more)[:half] + words.take(pa.array(good[: LANDMARKS - min(half, len(insults + more))])).to_pylist(), pa.binary())
-    z = vectors(landmarks)
-    values, axes = np.linalg.eigh(z.astype(np.float64) @ z.T.astype(np.float64))
-    live = values > 1e-6 * values.max()
+    landmarks = Landmarks(pa.array((insults + more)[:half] + words.take(pa.array(good[: LANDMARKS - min(half, len(insults + more))])).to_pylist(), pa.binary()))
+    gram = landmarks.z.T.astype(np.float64) @ landmarks.z.astype(np.float64)
+    values, axes = np.linalg.eigh(gram)
+    live = values > 1e-4 * values.max()
     root = axes[:, live] / np.sqrt(values[live])  # inverse root of the landmarks' kernel matrix
-    x = np.concatenate([vectors(x_words) @ z.T, *(vectors(words.take(pa.array(good[i : i + 500]))) @ z.T for i in range(0, len(good), 500))]).astype(np.float64) @ root
-    label = np.concatenate([np.ones(len(x_words)), -np.ones(len(good))])
+    x = landmarks.kernel(pa.array(insults + more, pa.binary()).cast(words.type)) @ root
+    weight = np.sqrt(np.maximum(in_toxic[bad], 1).astype(float))
+    weight = np.concatenate([weight, np.repeat(weight, len(more) // len(insults)) / 3])
+    x = np.concatenate([x, landmarks.kernel(words.take(pa.array(good))) @ root])
+    label = np.concatenate([np.ones(len(weight)), -np.ones(len(good))])
+    cost = np.concatenate([weight * (len(good) / weight.sum()) * 0.5, np.ones(len(good))])
     model = nothing
     for turn in range(2):
-        x1 = np.concatenate([x, np.ones((len(x), 1))], 1)
-        cost = np.where(label > 0, max(1.0, 0.2 * (label < 0).sum() / (label > 0).sum()), 1.0) * 4
-        w = S.fit_dense(x1, label, cost, epochs=40)
-        model = Model((z.T @ (root @ w[:-1])).astype(np.float32), float(w[-1]), (1.0, 0.0))
+        w = S.fit_dense(np.concatenate([x, np.ones((len(x), 1))], 1), label, cost * 4, epochs=15, tolerance=0.1)
+        folded = np.zeros(SPACE, np.float32)
+        folded[landmarks.code] = landmarks.z[:-1] @ (root @ w[:-1])
+        model = Model(folded, float(w[-1]), (1.0, 0.0))
         if turn == 0:  # clean words that score as insults join the clean class
             value = model.of_words(words)
             hard = np.flatnonzero((value > -0.7) & (times > 0))
             hard = hard[np.argsort(-value[hard], kind="stable")][:3000]
             if len(hard):
-                x = np.concatenate([x, *(vectors(words.take(pa.array(hard[i : i + 500]))) @ z.T @ root for i in range(0, len(hard), 500))])
-                label = np.concatenate([label, -np.ones(len(hard))])
+                x = np.concatenate([x, landmarks.kernel(words.take(pa.array(hard))) @ root])
+                label, cost = np.concatenate([label, -np.ones(len(hard))]), np.concatenate([cost, np.sqrt(times[hard])])
     margin = np.full(len(y), -1.0)
     np.maximum.at(margin, doc, model.of_words(words)[ids])
     a, b = S.calibrate(margin, y)
