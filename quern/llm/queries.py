@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from quern.llm import common as C
-from quern.llm import decontamination, language_id, quality_classifier, quality_rules, simhash, toxicity, warc
+from quern.llm import decontamination, language_id, packing, quality_classifier, quality_rules, simhash, toxicity, warc
 
 
 def op1_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -50,7 +50,13 @@ def op9_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality_classifier.score(documents, quality_classifier.fit(documents, labels, keep=~held_out), held_out)
 
 
-QUERIES = {f.__name__: f for f in (op1_quality_rules, op2_toxicity, op3_language_id, op5_decontamination, op7_warc, op8_simhash, op9_quality_classifier)}
+def op10_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    import public_tokenizers
+
+    return packing.pack(C.table(spark, sf_dir, "documents", "doc_id", "text"), public_tokenizers.path("byte_bpe_50k.json"))
+
+
+QUERIES = {f.__name__: f for f in (op1_quality_rules, op2_toxicity, op3_language_id, op5_decontamination, op7_warc, op8_simhash, op9_quality_classifier, op10_packing)}
 
 _UPPER, _LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 
