@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from quern.llm import common as C
-from quern.llm import decontamination, language_id, packing, quality_classifier, quality_rules, simhash, toxicity, warc
+from quern.llm import decontamination, language_id, packing, quality_classifier, quality_rules, simhash, suffix_dedup, toxicity, warc
 
 
 def op1_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -34,6 +34,10 @@ def op5_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op6_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return suffix_dedup.score(C.table(spark, sf_dir, "documents", "doc_id", "text"))
+
+
 def op7_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     path = C.shared_folder(spark)
     warc.store(C.table(spark, sf_dir, "pages", "page_id", "url", "html"), path)
@@ -56,7 +60,7 @@ def op10_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(C.table(spark, sf_dir, "documents", "doc_id", "text"), public_tokenizers.path("byte_bpe_50k.json"))
 
 
-QUERIES = {f.__name__: f for f in (op1_quality_rules, op2_toxicity, op3_language_id, op5_decontamination, op7_warc, op8_simhash, op9_quality_classifier, op10_packing)}
+QUERIES = {f.__name__: f for f in (op1_quality_rules, op2_toxicity, op3_language_id, op5_decontamination, op6_suffix_dedup, op7_warc, op8_simhash, op9_quality_classifier, op10_packing)}
 
 _UPPER, _LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 
