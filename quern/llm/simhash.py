@@ -1,7 +1,7 @@
 """SimHash near-duplicates by covering locality-sensitive hashing.
 
 A fingerprint's bit is 1 if more than half of the document's shingle hashes have it.  The
-tables of the index are masks: bit i has a vector of RADIUS + 1 bits, mask v keeps the bits
+tables of the index are masks: bit i has a vector of RADIUS + 1 bits, mask v drops the bits
 whose vector is orthogonal to v.  RADIUS differing bits have RADIUS vectors, and some
 non-zero v is orthogonal to them all, so every pair within the radius meets in a table.
 
@@ -22,7 +22,7 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from quern.llm import common as C
@@ -38,7 +38,7 @@ def masks(level: int, radius: int = RADIUS) -> list[int]:
     size = 1 << (radius + 1)
     vectors = np.resize(np.arange(1, size), BITS)
     vectors = np.random.default_rng(1000 + level).permutation(vectors)
-    return [sum(1 << i for i, x in enumerate(vectors) if bin(int(x) & v).count("1") % 2 == 0) for v in range(1, size)]
+    return [sum(1 << i for i, x in enumerate(vectors) if bin(int(x) & v).count("1") % 2) for v in range(1, size)]
 
 
 def fingerprints_of(texts: pa.Array, width: int = WIDTH) -> np.ndarray:
@@ -73,20 +73,24 @@ def fingerprints_of(texts: pa.Array, width: int = WIDTH) -> np.ndarray:
     return out
 
 
-def fingerprints(documents: DataFrame, width: int = WIDTH) -> DataFrame:
-    """(doc_id, f): f is the fingerprint as a signed number."""
+def fingerprints(documents: DataFrame, widths: dict[str, int]) -> DataFrame:
+    """documents (doc_id, ..., text) with the text replaced by a fingerprint, as a signed number, for each name and width."""
+    kept = [c for c in documents.columns if c != "text"]
+    schema = ", ".join([*(f"{c} {documents.schema[c].dataType.simpleString()}" for c in kept), *(f"{c} bigint" for c in widths)])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for block in C.in_blocks(batches):
-            yield pa.RecordBatch.from_arrays([block.column("doc_id"), pa.array(fingerprints_of(block.column("text"), width).view(np.int64))], ["doc_id", "f"])
+            made = [pa.array(fingerprints_of(block.column("text"), w).view(np.int64)) for w in widths.values()]
+            yield pa.RecordBatch.from_arrays([*(block.column(c) for c in kept), *made], [*kept, *widths])
 
-    return documents.select("doc_id", "text").mapInArrow(run, "doc_id bigint, f bigint")
+    return documents.mapInArrow(run, schema)
 
 
-def forest(f: np.ndarray, radius: int, tile: int = 512) -> tuple[np.ndarray, np.ndarray]:
-    """Links of a spanning forest of the fingerprints (sorted, distinct) within the radius."""
-    f = f.view(np.uint64)
-    parent = np.arange(len(f))
+def forest(columns: list[np.ndarray], radii: list[int], tile: int = 512) -> tuple[np.ndarray, np.ndarray]:
+    """Links of a spanning forest of rows that lie within every column's radius of each other."""
+    columns = [c.view(np.uint64) for c in columns]
+    n = len(columns[0])
+    parent = np.arange(n)
 
     def root(i: int) -> int:
         while parent[i] != i:
@@ -95,11 +99,14 @@ def forest(f: np.ndarray, radius: int, tile: int = 512) -> tuple[np.ndarray, np.
         return i
 
     a, b = [], []
-    for x in range(0, len(f), tile):
-        i, j = np.nonzero(np.bitwise_count(f[x : x + tile, None] ^ f[None, x:]) <= radius)
+    for x in range(0, n, tile):
+        near = np.bitwise_count(columns[0][x : x + tile, None] ^ columns[0][None, x:]) <= radii[0]
+        i, j = np.nonzero(near)
         i, j = i + x, j + x
-        new = i < j
-        for p, q in zip(i[new].tolist(), j[new].tolist(), strict=True):
+        ok = i < j
+        for c, r in zip(columns[1:], radii[1:], strict=True):
+            ok &= np.bitwise_count(c[i] ^ c[j]) <= r
+        for p, q in zip(i[ok].tolist(), j[ok].tolist(), strict=True):
             rp, rq = root(p), root(q)
             if rp != rq:
                 parent[max(rp, rq)] = min(rp, rq)
@@ -108,101 +115,118 @@ def forest(f: np.ndarray, radius: int, tile: int = 512) -> tuple[np.ndarray, np.
     return np.array(a, np.int64), np.array(b, np.int64)
 
 
-_LINKED = "a bigint, b bigint, t int, k bigint"
-
-
-def _in_buckets(radius: int, most: int):
-    """Reads (t, k, f) sorted; gives links (a, b), or (a = f, b null, t, k) for what is dealt again."""
+def _in_buckets(names: list[str], radii: list[int], most: int):
+    """Reads (t, k, id, *names) sorted by t, k; gives links (a, b), or (a = id, t, names) with b null for what is dealt again."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        def out(a, b, t=None, k=None):
-            none = lambda kind: pa.nulls(len(a), kind)
-            return pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), none(pa.int64()) if b is None else pa.array(b, pa.int64()), none(pa.int32()) if t is None else pa.array(t, pa.int32()), none(pa.int64()) if k is None else pa.array(k, pa.int64())], ["a", "b", "t", "k"])
+        labels = ["a", "b", "t", *names]
+
+        def linked(a, b):
+            none = [pa.nulls(len(a), pa.int32()), *(pa.nulls(len(a), pa.int64()) for _ in names)]
+            return pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64()), *none], labels)
 
         key, held, over = None, [], False
 
         def closed():
-            f = np.unique(np.concatenate(held)) if held else np.zeros(0, np.int64)
-            if len(f) > 1:
-                a, b = forest(f, radius)
+            rows = np.unique(np.concatenate(held, 1), axis=1) if held else np.zeros((1, 0), np.int64)
+            if rows.shape[1] > 1:
+                a, b = forest(list(rows[1:]), radii)
                 if len(a):
-                    yield out(f[a], f[b])
+                    yield linked(rows[0][a], rows[0][b])
 
         for batch in batches:
-            t, k, f = (np.asarray(batch.column(c)) for c in ("t", "k", "f"))
+            t, k = np.asarray(batch.column("t")), np.asarray(batch.column("k"))
+            rows = np.stack([np.asarray(batch.column(c)) for c in ("id", *names)])
             cut = np.flatnonzero((t[1:] != t[:-1]) | (k[1:] != k[:-1])) + 1
             begin, end = np.concatenate([[0], cut]), np.append(cut, len(t))
             # pairs, the bulk, without a loop
-            inner = (end - begin == 2) & (begin > 0) & (end < len(t))
-            i = begin[inner]
-            near = np.bitwise_count((f[i] ^ f[i + 1]).view(np.uint64)) <= radius
+            inner = (begin > 0) & (end < len(t))
+            i = begin[inner & (end - begin == 2)]
+            near = np.ones(len(i), bool)
+            for c, r in zip(rows[1:], radii, strict=True):
+                near &= np.bitwise_count((c[i] ^ c[i + 1]).view(np.uint64)) <= r
             if near.any():
-                yield out(f[i][near], f[i + 1][near])
-            for s, e in zip(begin[~inner].tolist(), end[~inner].tolist(), strict=True):
-                if e - s == 1 and s > 0 and e < len(t):
-                    continue
+                yield linked(rows[0][i][near], rows[0][i + 1][near])
+            rest = ~inner | (end - begin > 2)
+            for s, e in zip(begin[rest].tolist(), end[rest].tolist(), strict=True):
                 if (t[s], k[s]) != key:
                     yield from closed()
                     key, held, over = (t[s], k[s]), [], False
-                held.append(f[s:e])
-                if over or sum(map(len, held)) > most:
+                held.append(rows[:, s:e])
+                if over or sum(h.shape[1] for h in held) > most:
                     over = True
-                    part = np.concatenate(held)
-                    yield out(part, None, np.full(len(part), t[s]), np.full(len(part), k[s]))
+                    part = np.concatenate(held, 1)
+                    size = part.shape[1]
+                    yield pa.RecordBatch.from_arrays([pa.array(part[0]), pa.nulls(size, pa.int64()), pa.array(np.full(size, t[s]), pa.int32()), *(pa.array(c) for c in part[1:])], labels)
                     held = []
         yield from closed()
 
     return run
 
 
-def links(distinct: DataFrame, radius: int = RADIUS, most: int = BUCKET) -> DataFrame:
-    """Links (a, b) of distinct fingerprints f, enough to connect every pair within the radius."""
-    n = (1 << (radius + 1)) - 1
+def _dealt(names: list[str], level: int, radius: int):
+    """A row for each mask of the level; t numbers the masks so far in base 2 ** (radius + 1) - 1."""
+    tables = [masks(x, radius) for x in range(level + 1)]
+    n = len(tables[0])
 
-    def dealt(level: int):
-        table = masks(level, radius)
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            t = np.asarray(batch.column("t")).astype(np.int64)
+            f = np.asarray(batch.column(names[0])).view(np.uint64)
+            kept, digits = np.zeros(len(t), np.uint64), t.copy()
+            for x in range(level - 1, -1, -1):
+                kept |= np.array(tables[x], np.uint64)[digits % n]
+                digits //= n
+            for v, m in enumerate(tables[level]):
+                k = (f & (kept | np.uint64(m))).view(np.int64)
+                yield pa.RecordBatch.from_arrays([pa.array((t * n + v).astype(np.int32)), pa.array(k), batch.column("id"), *(batch.column(c) for c in names)], ["t", "k", "id", *names])
 
-        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            for batch in batches:
-                f, t, kept = (np.asarray(batch.column(c)) for c in ("f", "t", "kept"))
-                f, kept = f.view(np.uint64), kept.view(np.uint64)
-                for v, m in enumerate(table):
-                    now = kept | np.uint64(m)
-                    yield pa.RecordBatch.from_arrays([pa.array((t * n + v).astype(np.int32)), pa.array((f & now).view(np.int64)), pa.array(f.view(np.int64)), pa.array(now.view(np.int64))], ["t", "k", "f", "kept"])
+    return run
 
-        return run
 
-    todo, found, level = distinct.select("f", F.lit(0).alias("t"), F.lit(0).cast("bigint").alias("kept")), None, 0
+def links(distinct: DataFrame, names: list[str], radii: list[int], most: int = BUCKET) -> DataFrame:
+    """Links (a, b) of ids, enough to connect all rows (id, *names) that lie within every radius; the first column is the one indexed."""
+    kinds = ", ".join(f"{c} bigint" for c in names)
+    todo, found, level = distinct.select("id", F.lit(0).alias("t"), *names), None, 0
     while True:
-        rows = todo.mapInArrow(dealt(level), "t int, k bigint, f bigint, kept bigint")
-        step = C.stored(rows.select("t", "k", "f").repartition("t", "k").sortWithinPartitions("t", "k", "f").mapInArrow(_in_buckets(radius, most), _LINKED))
+        rows = todo.mapInArrow(_dealt(names, level, radii[0]), f"t int, k bigint, id bigint, {kinds}")
+        step = C.stored(rows.repartition("t", "k").sortWithinPartitions("t", "k").mapInArrow(_in_buckets(names, radii, most), f"a bigint, b bigint, t int, {kinds}"))
         now = step.where("b is not null").select("a", "b")
         found = now if found is None else found.unionAll(now)
         again = step.where("b is null")
         if again.isEmpty():
             return found
-        # the bits that a table of this level has fixed follow from its number
-        fixed = F.create_map(*(F.lit(x) for t, m in _fixed(level, n, radius).items() for x in (t, m)))
-        todo, level = again.select(F.col("a").alias("f"), "t", fixed[F.col("t")].alias("kept")), level + 1
-
+        todo, level = again.select(F.col("a").alias("id"), "t", *names), level + 1
 
-def _fixed(level: int, n: int, radius: int) -> dict[int, int]:
-    out = {0: 0}
-    for x in range(level + 1):
-        out = {t * n + v: kept | m for t, kept in out.items() for v, m in enumerate(masks(x, radius))}
-    return {t: m - (1 << 64) if m >> 63 else m for t, m in out.items()}
 
-
-def classes(prints: DataFrame, radius: int = RADIUS) -> DataFrame:
-    """(f, least): every distinct fingerprint of prints (doc_id, f) and the least doc_id that it reaches."""
-    distinct = C.stored(prints.groupBy("f").agg(F.min("doc_id").alias("first")))
-    roots = components(links(distinct, radius))
-    rows = distinct.join(roots, distinct["f"] == roots["node"], "left").select("f", "first", F.coalesce("root", "f").alias("root"))
-    least = rows.groupBy("root").agg(F.min("first").alias("least"))
-    return C.stored(rows.join(least, "root").select("f", "least"))
+def classes(distinct: DataFrame, names: list[str], radii: list[int]) -> DataFrame:
+    """distinct (id, *names) with root, the least id that each reaches."""
+    roots = components(links(distinct, names, radii))
+    return distinct.join(roots, distinct["id"] == roots["node"], "left").select(distinct["*"], F.coalesce("root", "id").alias("root"))
 
 
 def score(documents: DataFrame, width: int = WIDTH, radius: int = RADIUS) -> DataFrame:
     """(doc_id, fingerprint, component_id) of every document."""
-    prints = C.stored(fingerprints(documents, width))
-    return prints.join(classes(prints, radius), "f").select("doc_id", F.lpad(F.lower(F.hex("f")), 16, "0").alias("fingerprint"), F.col("least").alias("component_id"))
+    prints = C.stored(fingerprints(documents.select("doc_id", "text"), {"f": width}))
+    distinct = C.stored(prints.groupBy("f").agg(F.min("doc_id").alias("first")))
+    rows = classes(distinct.select(F.col("f").alias("id"), "f", "first"), ["f"], [radius])
+    least = rows.groupBy("root").agg(F.min("first").alias("component_id"))
+    of = C.stored(rows.join(least, "root").select("f", "component_id"))
+    return prints.join(of, "f").select("doc_id", F.lpad(F.lower(F.hex("f")), 16, "0").alias("fingerprint"), "component_id")
+
+
+#: keep(): shingles of five words, similar at 0.8 or more. Pairs are found by the fingerprints of single words, in which
+#: such pairs differ least, and held against those of three and of five words; the radii take in pairs of similarity 0.8.
+SIMILAR = {"f": (1, 5), "g": (3, 12), "h": (5, 14)}
+
+
+def keep(documents: DataFrame, similar: dict[str, tuple[int, int]] = SIMILAR) -> DataFrame:
+    """One document (that of the least id) of every group of near-duplicates, with all its columns."""
+    key = [F.coalesce("doc_id", F.lit(-(2**63))).alias("__i"), F.xxhash64(F.coalesce("text", F.lit(""))).alias("__x")]
+    prints = C.stored(fingerprints(documents.select(*key, F.col("text")), {c: w for c, (w, _) in similar.items()}))
+    names = list(similar)
+    distinct = C.stored(prints.groupBy(*names).agg(F.min(F.struct("__i", "__x")).alias("best")).withColumn("id", F.xxhash64(*names)))
+    rows = classes(distinct, names, [r for _, r in similar.values()])
+    best = C.stored(rows.groupBy("root").agg(F.min("best").alias("best")).select("best.__i", "best.__x"))
+    once = F.row_number().over(Window.partitionBy("__i", "__x").orderBy("__x"))  # repeated rows of one document
+    return documents.select("*", *key).join(best, ["__i", "__x"]).withColumn("__n", once).where("__n = 1").select(documents.columns)

@@ -328,3 +328,17 @@ def score(documents: DataFrame, length: int = LENGTH, group_bytes: int = GROUP_B
     all_, copied = _results(documents, length, group_bytes, False)
     pick = lambda whole, name, otherwise: F.when(copied, whole).otherwise(F.coalesce(F.col(name), otherwise)).alias(name)
     return all_.select("doc_id", "n_bytes", pick(F.col("n_bytes"), "n_removed", F.lit(0)), pick(F.lit(1), "n_spans", F.lit(0)).cast("bigint").alias("n_spans"), pick(F.lit(_EMPTY), "kept_sha256", F.col("sha")))
+
+
+def keep(documents: DataFrame, length: int = LENGTH, group_bytes: int = GROUP_BYTES) -> DataFrame:
+    """The documents without their repeated strings, with all their columns; n_chars, where there, follows. A character that is cut in part goes, and so does a document of which no word stays."""
+    all_, copied = _results(documents, length, group_bytes, True)
+    cut = F.when(copied, F.lit(b"")).otherwise(F.col("kept"))
+    changed = C.stored(all_.where(copied | F.col("kept").isNotNull()).select(F.col("t").alias("__t"), cut.alias("__cut")).groupBy("__t").agg(F.first("__cut").alias("__cut")))
+    rest = F.replace(F.make_valid_utf8(F.col("__cut").cast("string")), F.lit("\uFFFD"), F.lit(""))
+    same = F.col("__cut").isNull()
+    joined = documents.withColumn("__t", F.xxhash64(F.coalesce("text", F.lit("")))).join(changed, "__t", "left")
+    out = joined.withColumn("text", F.when(same, F.col("text")).otherwise(rest)).where(same | F.col("text").rlike(r"[^\x20\x09-\x0D]"))
+    if "n_chars" in documents.columns:
+        out = out.withColumn("n_chars", F.when(same, F.col("n_chars")).otherwise(F.char_length("text")).cast(documents.schema["n_chars"].dataType))
+    return out.select(documents.columns)
