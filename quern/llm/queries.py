@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from quern.llm import common as C
-from quern.llm import decontamination, language_id, packing, quality_classifier, quality_rules, simhash, suffix_dedup, toxicity, warc
+from quern.llm import decontamination, language_id, lm_scoring, packing, quality_classifier, quality_rules, simhash, suffix_dedup, toxicity, warc
 
 
 def op1_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -26,6 +26,10 @@ def op3_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return language_id.predict(documents, language_id.fit(documents, keep=~held_out), held_out)
 
 
+def op4_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return lm_scoring.score(C.table(spark, sf_dir, "documents", "doc_id", "text"), C.crc_mod(7) == 2)
+
+
 def op5_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     documents, benchmark = C.table(spark, sf_dir, "documents", "doc_id", "text"), C.table(spark, sf_dir, "benchmark", "item_id", "text")
     found = decontamination.match(documents, benchmark)
@@ -60,7 +64,7 @@ def op10_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(C.table(spark, sf_dir, "documents", "doc_id", "text"), public_tokenizers.path("byte_bpe_50k.json"))
 
 
-QUERIES = {f.__name__: f for f in (op1_quality_rules, op2_toxicity, op3_language_id, op5_decontamination, op6_suffix_dedup, op7_warc, op8_simhash, op9_quality_classifier, op10_packing)}
+QUERIES = {f.__name__: f for f in (op1_quality_rules, op2_toxicity, op3_language_id, op4_lm_scoring, op5_decontamination, op6_suffix_dedup, op7_warc, op8_simhash, op9_quality_classifier, op10_packing)}
 
 _UPPER, _LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 
