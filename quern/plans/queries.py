@@ -11,9 +11,10 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from quern.functions import metrics as M
+from quern.functions import records as R
 from quern.functions import text as T
 from quern.functions import vectors as V
-from quern.operators import chunking, codec, evaluation, prompting, qa_datasets, regions, retrieval, selection, splitting
+from quern.operators import catalogue, chunking, codec, evaluation, prompting, qa_datasets, regions, retrieval, selection, splitting
 from quern.streaming import stream
 
 CHUNK, BUDGET, REGION_BUDGET, CAP, K = 512, 1000, 180, 100, 5
@@ -699,3 +700,69 @@ def event_windows(spark, sf_dir):
 def vector_lookup(spark, sf_dir):
     v = _Vectors(spark, sf_dir)
     return codec.looked_up(v.tokens.select("subchunk_id"), v.tokens).select("subchunk_id", F.size("vectors").cast("bigint").alias("vectors"))
+
+
+# --- catalogue and records ---
+
+
+@query("SELECT doc_id AS id, lang, source, n_chars::VARCHAR AS n_chars FROM documents")
+def catalogue_pivot(spark, sf_dir):
+    d = table(spark, sf_dir, "documents").select(F.col("doc_id").alias("id"), "lang", "source", "n_chars")
+    none = F.lit(None)
+    entry = lambda k, s, i: F.struct(F.lit(k).alias("key"), s.cast("string").alias("string_value"), i.cast("bigint").alias("int_value"))
+    eav = d.select("id", F.explode(F.array(entry("lang", F.col("lang"), none), entry("source", F.col("source"), none), entry("n_chars", none, F.col("n_chars")))).alias("e")).select("id", "e.*")
+    return catalogue.pivoted(eav, ["lang", "source", "n_chars"])
+
+
+@query("SELECT d.doc_id AS id, CASE WHEN l.doc_id IS NULL THEN d.doc_id::VARCHAR ELSE 'q' || quality || ',t' || toxic END AS windows FROM documents d LEFT JOIN labels l USING (doc_id)")
+def window_lookup(spark, sf_dir):
+    d = table(spark, sf_dir, "documents").select(F.col("doc_id").cast("string").alias("id"))
+    w = table(spark, sf_dir, "labels").select(F.col("doc_id").cast("string").alias("id"), F.array(F.concat(F.lit("q"), F.col("quality").cast("string")), F.concat(F.lit("t"), F.col("toxic").cast("string"))).alias("window_ids"))
+    return catalogue.window_lookup(d, w).select(F.col("id").cast("bigint").alias("id"), F.array_join("window_ids", ",").alias("windows"))
+
+
+@query(
+    """WITH a AS (SELECT doc_id, (doc_id % 3)::INT AS v FROM documents), b AS (SELECT doc_id, quality AS v FROM labels)
+    SELECT doc_id, CASE WHEN b.doc_id IS NULL THEN 'missing' WHEN a.doc_id IS NULL THEN 'unexpected' ELSE 'different' END AS state FROM a FULL JOIN b USING (doc_id) WHERE b.doc_id IS NULL OR a.doc_id IS NULL OR a.v IS DISTINCT FROM b.v"""
+)
+def verification_join(spark, sf_dir):
+    a = table(spark, sf_dir, "documents").select("doc_id", (F.col("doc_id") % 3).cast("int").alias("v"))
+    return catalogue.differences(a, table(spark, sf_dir, "labels").select("doc_id", F.col("quality").alias("v")), "doc_id")
+
+
+@query(
+    """SELECT (SELECT count(*) FROM (SELECT conv_id FROM conversations EXCEPT SELECT doc_id FROM labels)) AS left_only, (SELECT count(*) FROM (SELECT doc_id FROM labels EXCEPT SELECT conv_id FROM conversations)) AS right_only,
+    (SELECT count(*) - count(DISTINCT conv_id) FROM conversations) AS left_repeats, (SELECT count(*) - count(DISTINCT doc_id) FROM labels) AS right_repeats"""
+)
+def id_checks(spark, sf_dir):
+    c = table(spark, sf_dir, "conversations").select(F.col("conv_id").alias("id"))
+    return catalogue.id_checks(c, table(spark, sf_dir, "labels").select(F.col("doc_id").alias("id")), "id")
+
+
+@query("SELECT conv_id, count(*) AS n, string_agg(text, '|' ORDER BY turn) AS prediction FROM conversations GROUP BY conv_id")
+def record_fields(spark, sf_dir):
+    c = table(spark, sf_dir, "conversations").groupBy("conv_id").agg(F.array_sort(F.collect_list(F.struct("turn", "text"))).alias("t"))
+    rows = c.select("conv_id", F.transform("t", lambda x: F.array(x["text"])).alias("answers"))
+    return rows.select("conv_id", F.size(R.truths(rows)).cast("bigint").alias("n"), F.array_join(R.text_list(rows, "answers"), "|").alias("prediction"))
+
+
+@query("SELECT role, count(*) AS n, count(DISTINCT text) AS texts, min(turn) AS first_turn FROM conversations WHERE trim(text) <> '' GROUP BY role")
+def type_histogram(spark, sf_dir):
+    return table(spark, sf_dir, "conversations").where(F.trim("text") != "").groupBy("role").agg(F.count("*").alias("n"), F.countDistinct("text").alias("texts"), F.min("turn").alias("first_turn"))
+
+
+@query()
+def trained_codec(spark, sf_dir):
+    """k-means centres, assignment, quantisation and decoding with trained values; centres differ between libraries."""
+    e = table(spark, sf_dir, "embeddings").select(F.col("vec_id").alias("id"), F.col("embedding").alias("vector"))
+    cen = codec.trained_centroids(e, 32)
+    rows = codec.assigned(e, cen)
+    b = codec.bucket_values(codec.residuals(rows))
+    d = codec.decoded(codec.encoded(rows, b), cen, b).join(e.select("id", F.col("vector").alias("v")), "id")
+    return d.select("id", F.round(V.similarity(F.col("vector"), F.col("v")), 4).alias("fidelity"))
+
+
+@query("SELECT conv_id, turn, '' AS title, text FROM conversations WHERE trim(text, ' ' || chr(9) || chr(10) || chr(13)) <> ''")
+def context_records(spark, sf_dir):
+    c = table(spark, sf_dir, "conversations").select("conv_id", "turn", F.explode(prompting.context_records(F.array("text"))).alias("c"))
+    return c.select("conv_id", "turn", "c.title", "c.text").where(T.stripped(F.col("text")) != "")
