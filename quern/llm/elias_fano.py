@@ -1,8 +1,8 @@
 """Elias-Fano sequences and a two-level n-gram trie made of them, queried by arrays.
 
 A non-decreasing sequence keeps its low bits packed and its high bits in unary, so a value
-costs about 2 + log2(universe / length) bits.  A successor search selects the zero that
-ends the bucket before the wanted high part and steps through that bucket.
+costs about 2 + log2(universe / length) bits.  A successor search selects the zeros around
+the bucket of the wanted high part and halves that bucket.
 
 The trie's first level has the contexts and pointers to their children, the second the
 children of one context after another.  Children are stored plus the largest value so far,
@@ -84,26 +84,26 @@ class EliasFano:
         x = x.astype(np.uint64)
         part, rest = (x >> np.uint64(self.bits)).astype(np.int64), x & np.uint64((1 << self.bits) - 1)
         out = np.full(len(x), self.n, np.int64)
-        inside = np.flatnonzero(part <= int(self.zeros[-1]) - 1) if self.n else np.zeros(0, np.int64)
-        p = part[inside]
-        # behind the zero before the bucket of p, or at the very start
-        word = np.searchsorted(self.zeros, p - 1, "right") - 1
-        word = np.maximum(word, 0)
-        zero = word * 64 + _select_in_word(~self.high[word], np.maximum(p - 1 - self.zeros[word], 0)) + 1
-        place = np.where(p > 0, zero, 0)
-        i = place - p
-        todo = np.arange(len(inside))
-        while len(todo):
-            at = place[todo]
-            full = (self.high[at >> 6] >> (at & 63).astype(np.uint64)) & _ONE
-            go = full.astype(bool)
-            go[go] = self.low_of(i[todo[go]]) < rest[inside[todo[go]]]
-            todo = todo[go]
-            place[todo] += 1
-            i[todo] += 1
-        out[inside] = i
+        inside = np.flatnonzero(part < int(self.zeros[-1])) if self.n else np.zeros(0, np.int64)
+        p, rest = part[inside], rest[inside]
+        # the bucket of p lies between the zeros p - 1 and p
+        low = np.where(p > 0, self._zero(np.maximum(p - 1, 0)) + 1 - p, 0)
+        high = self._zero(p) - p
+        todo = np.flatnonzero(low < high)
+        while len(todo):  # dense buckets are halved, not stepped through
+            middle = (low[todo] + high[todo]) >> 1
+            less = self.low_of(middle) < rest[todo]
+            low[todo] = np.where(less, middle + 1, low[todo])
+            high[todo] = np.where(less, high[todo], middle)
+            todo = todo[low[todo] < high[todo]]
+        out[inside] = low
         return out
 
+    def _zero(self, k: np.ndarray) -> np.ndarray:
+        """Place of the k-th (from 0) zero."""
+        word = np.searchsorted(self.zeros, k, "right") - 1
+        return word * 64 + _select_in_word(~self.high[word], k - self.zeros[word])
+
 
 class Trie:
     """Codes of (context, child) pairs: contexts ascending, children ascending within one."""
