@@ -2,6 +2,10 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -23,15 +27,28 @@ def trained_centroids(vectors: DataFrame, k: int, iterations: int = 4, seed: int
     return vectors.sparkSession.createDataFrame(rows, "centroid bigint, vector array<double>").withColumn("vector", normalized(F.col("vector")))
 
 
-def assigned(vectors: DataFrame, centroids: DataFrame) -> DataFrame:
-    """vectors (id, vector) with centroid and c: the centre of largest inner product, the smaller number among equals."""
-    n = centroids.count()
-    if n > MOST_CENTROIDS:
+def assigned(vectors: DataFrame, centroids: DataFrame, digits: int = 6) -> DataFrame:
+    """vectors (id, vector) with centroid and c: the centre of largest inner product, the smaller number among equals.
+
+    The centres are broadcast, MOST_CENTROIDS at most; a batch of vectors is one matrix product.
+    """
+    table = centroids.select("centroid", "vector").orderBy("centroid").limit(MOST_CENTROIDS + 1).collect()
+    if len(table) > MOST_CENTROIDS:
         raise ValueError("too many centroids to broadcast")
-    table = F.broadcast(centroids.agg(F.array_sort(F.collect_list(F.struct("centroid", "vector"))).alias("all")))
-    score = F.transform("all", lambda c: F.struct(F.round(dot(F.col("vector"), c["vector"]), 6).alias("s"), (-c["centroid"]).alias("k"), c["vector"].alias("v")))
-    rows = vectors.join(table).withColumn("best", F.array_max(score))
-    return rows.select("id", "vector", (-F.col("best.k")).alias("centroid"), F.col("best.v").alias("c"))
+    shared = vectors.sparkSession.sparkContext.broadcast((np.array([r[0] for r in table], np.int64), np.array([r[1] for r in table], np.float64)))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        numbers, c = shared.value
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            x = np.asarray(batch.column("vector").flatten(), np.float64).reshape(batch.num_rows, -1)
+            best = np.concatenate([np.round(x[i : i + 1024] @ c.T, digits).argmax(1) for i in range(0, len(x), 1024)])
+            off = pa.array(np.arange(len(x) + 1) * x.shape[1], pa.int32())
+            lists = [pa.ListArray.from_arrays(off, pa.array(np.ascontiguousarray(v).ravel())) for v in (x, c[best])]
+            yield pa.RecordBatch.from_arrays([batch.column("id"), lists[0], pa.array(numbers[best]), lists[1]], ["id", "vector", "centroid", "c"])
+
+    return vectors.select("id", "vector").mapInArrow(run, "id bigint, vector array<double>, centroid bigint, c array<double>")
 
 
 def residuals(rows: DataFrame) -> DataFrame:
