@@ -33,7 +33,9 @@ from quern.llm.suffix_array import suffix_array
 
 LENGTH, GRAM = 400, 16
 #: Bytes sorted at once, and the most that one anchor text may bring.
-SORT_BYTES, GROUP_BYTES = 3 << 20, 48 << 20
+SORT_BYTES, GROUP_BYTES = 2 << 20, 48 << 20
+#: Bytes of text hashed at once: every byte takes some ten numbers of eight bytes.
+HASH_BYTES = 1 << 20
 
 _rng = np.random.default_rng(2024)
 _VALUE = _rng.integers(1, 1 << 63, 256).astype(np.uint64)
@@ -44,7 +46,7 @@ _powers: list[np.ndarray] = []
 
 def _power(n: int) -> tuple[np.ndarray, np.ndarray]:
     if not _powers or len(_powers[0]) < n:
-        size = max(n, C.BLOCK_BYTES + 1)
+        size = max(n, HASH_BYTES + 1)
 
         def one(b: int) -> np.ndarray:
             step = np.full(size, b, np.uint64)
@@ -103,7 +105,7 @@ _BLOCKS = "k bigint, t bigint, a bigint, n int"
 
 def _blocks(length: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for block in C.in_blocks(batches):
+        for block in C.in_blocks(batches, budget=HASH_BYTES):
             doc, a, n, k = blocks_of(C.Flat(block.column("text")), length)
             yield pa.RecordBatch.from_arrays([pa.array(k.view(np.int64)), block.column("t").take(pa.array(doc)), pa.array(a), pa.array(n.astype(np.int32))], ["k", "t", "a", "n"])
 
