@@ -322,15 +322,15 @@ def score(documents: DataFrame, held_out: Column, budget: int = BLOCK) -> DataFr
     words = blocks.select("block", "words", "counts").mapInArrow(_words_out, "word binary, block bigint, place int, count int")
     numbers = C.stored(words.repartition(parts, "word").sortWithinPartitions("word").mapInArrow(_numbered(parts), _NUMBERED))
     kinds = (numbers.agg(F.sum("known")).first()[0] or 0) + (trained > 0)
-    of = numbers.groupBy("block").agg(F.collect_list(F.struct("n", "place", "number", "count")).alias("numbers"))
-    few = max(1, -(-n // 2))  # blocks are large rows
-    full = blocks.drop("words", "counts").repartition(few, "block").join(of.repartition(few, "block"), "block", "left")
+    few = max(1, -(-n // 2))  # blocks are large rows; all that is joined by block is dealt once, to as many parts
+    of = numbers.repartition(few, "block").groupBy("block").agg(F.collect_list(F.struct("n", "place", "number", "count")).alias("numbers"))
+    full = blocks.drop("words", "counts").repartition(few, "block").join(of, "block", "left")
     scalars = (trained, tokens, shards)
     asked = full.mapInArrow(_asked(scalars), _ASKED)
     answered = C.stored(asked.repartition(shards, "shard").sortWithinPartitions("shard").mapInArrow(_by_shard(tokens / shards), _ANSWERED))
-    answers = answered.groupBy("block").agg(F.collect_list(F.struct("shard", "n", "m", "followers", "codes")).alias("answers"))
+    answers = answered.repartition(few, "block").groupBy("block").agg(F.collect_list(F.struct("shard", "n", "m", "followers", "codes")).alias("answers"))
     parted = answered.select(F.explode(F.arrays_zip("hot", "hot_followers")).alias("h")).groupBy(F.col("h.hot").alias("context")).agg(F.sum("h.hot_followers").alias("followers"))
     wanted = answered.select("block", F.explode("asked").alias("context")).distinct()
-    hot = wanted.join(parted, "context").groupBy("block").agg(F.collect_list(F.struct("context", "followers")).alias("hot"))
-    rows = full.join(answers.repartition(few, "block"), "block", "left").join(hot.repartition(few, "block"), "block", "left")
+    hot = wanted.join(parted, "context").repartition(few, "block").groupBy("block").agg(F.collect_list(F.struct("context", "followers")).alias("hot"))
+    rows = full.join(answers, "block", "left").join(hot, "block", "left")
     return rows.mapInArrow(_scored(scalars, kinds), RESULT)
