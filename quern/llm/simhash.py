@@ -86,8 +86,8 @@ def fingerprints(documents: DataFrame, widths: dict[str, int]) -> DataFrame:
     return documents.mapInArrow(run, schema)
 
 
-def forest(columns: list[np.ndarray], radii: list[int], tile: int = 512) -> tuple[np.ndarray, np.ndarray]:
-    """Links of a spanning forest of rows that lie within every column's radius of each other."""
+def forest(columns: list[np.ndarray], radii: list[int], steps: tuple[int, ...] = (1 << 30,), tile: int = 512) -> tuple[np.ndarray, np.ndarray]:
+    """Links of a spanning forest of rows that lie within every column's radius of each other; of sums of distances under a smaller step, links come first."""
     columns = [c.view(np.uint64) for c in columns]
     n = len(columns[0])
     parent = np.arange(n)
@@ -99,23 +99,28 @@ def forest(columns: list[np.ndarray], radii: list[int], tile: int = 512) -> tupl
         return i
 
     a, b = [], []
-    for x in range(0, n, tile):
-        near = np.bitwise_count(columns[0][x : x + tile, None] ^ columns[0][None, x:]) <= radii[0]
-        i, j = np.nonzero(near)
-        i, j = i + x, j + x
-        ok = i < j
-        for c, r in zip(columns[1:], radii[1:], strict=True):
-            ok &= np.bitwise_count(c[i] ^ c[j]) <= r
-        for p, q in zip(i[ok].tolist(), j[ok].tolist(), strict=True):
-            rp, rq = root(p), root(q)
-            if rp != rq:
-                parent[max(rp, rq)] = min(rp, rq)
-                a.append(p)
-                b.append(q)
+    for step in steps:
+        for x in range(0, n, tile):
+            first = np.bitwise_count(columns[0][x : x + tile, None] ^ columns[0][None, x:])
+            i, j = np.nonzero(first <= radii[0])
+            total = first[i, j].astype(np.int64)
+            i, j = i + x, j + x
+            ok = i < j
+            for c, r in zip(columns[1:], radii[1:], strict=True):
+                d = np.bitwise_count(c[i] ^ c[j])
+                ok &= d <= r
+                total += d
+            ok &= total <= step
+            for p, q in zip(i[ok].tolist(), j[ok].tolist(), strict=True):
+                rp, rq = root(p), root(q)
+                if rp != rq:
+                    parent[max(rp, rq)] = min(rp, rq)
+                    a.append(p)
+                    b.append(q)
     return np.array(a, np.int64), np.array(b, np.int64)
 
 
-def _in_buckets(names: list[str], radii: list[int], most: int):
+def _in_buckets(names: list[str], radii: list[int], most: int, steps: tuple[int, ...]):
     """Reads (t, k, id, *names) sorted by t, k; gives links (a, b), or (a = id, t, names) with b null for what is dealt again."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -130,7 +135,7 @@ def _in_buckets(names: list[str], radii: list[int], most: int):
         def closed():
             rows = np.unique(np.concatenate(held, 1), axis=1) if held else np.zeros((1, 0), np.int64)
             if rows.shape[1] > 1:
-                a, b = forest(list(rows[1:]), radii)
+                a, b = forest(list(rows[1:]), radii, steps)
                 if len(a):
                     yield linked(rows[0][a], rows[0][b])
 
@@ -184,13 +189,13 @@ def _dealt(names: list[str], level: int, radius: int):
     return run
 
 
-def links(distinct: DataFrame, names: list[str], radii: list[int], most: int = BUCKET) -> DataFrame:
-    """Links (a, b) of ids, enough to connect all rows (id, *names) that lie within every radius; the first column is the one indexed."""
+def links(distinct: DataFrame, names: list[str], radii: list[int], most: int = BUCKET, steps: tuple[int, ...] = (1 << 30,)) -> DataFrame:
+    """Links (a, b) of ids, enough to connect all rows (id, *names) that lie within every radius; the first column is the one indexed, steps as for forest()."""
     kinds = ", ".join(f"{c} bigint" for c in names)
     todo, found, level = distinct.select("id", F.lit(0).alias("t"), *names), None, 0
     while True:
         rows = todo.mapInArrow(_dealt(names, level, radii[0]), f"t int, k bigint, id bigint, {kinds}")
-        step = C.stored(rows.repartition("t", "k").sortWithinPartitions("t", "k").mapInArrow(_in_buckets(names, radii, most), f"a bigint, b bigint, t int, {kinds}"))
+        step = C.stored(rows.repartition("t", "k").sortWithinPartitions("t", "k").mapInArrow(_in_buckets(names, radii, most, steps), f"a bigint, b bigint, t int, {kinds}"))
         now = step.where("b is not null").select("a", "b")
         found = now if found is None else found.unionAll(now)
         again = step.where("b is null")
@@ -199,10 +204,15 @@ def links(distinct: DataFrame, names: list[str], radii: list[int], most: int = B
         todo, level = again.select(F.col("a").alias("id"), "t", *names), level + 1
 
 
+def joined(distinct: DataFrame, found: DataFrame) -> DataFrame:
+    """distinct (id, ...) with root, the least id that each reaches by the links found."""
+    roots = components(found)
+    return distinct.join(roots, distinct["id"] == roots["node"], "left").select(distinct["*"], F.coalesce("root", "id").alias("root"))
+
+
 def classes(distinct: DataFrame, names: list[str], radii: list[int]) -> DataFrame:
     """distinct (id, *names) with root, the least id that each reaches."""
-    roots = components(links(distinct, names, radii))
-    return distinct.join(roots, distinct["id"] == roots["node"], "left").select(distinct["*"], F.coalesce("root", "id").alias("root"))
+    return joined(distinct, links(distinct, names, radii))
 
 
 def score(documents: DataFrame, width: int = WIDTH, radius: int = RADIUS) -> DataFrame:
@@ -216,17 +226,58 @@ def score(documents: DataFrame, width: int = WIDTH, radius: int = RADIUS) -> Dat
 
 
 #: keep(): shingles of five words, similar at 0.8 or more. Pairs are found by the fingerprints of single words, in which
-#: such pairs differ least, and held against those of three and of five words; the radii take in pairs of similarity 0.8.
-SIMILAR = {"f": (1, 5), "g": (3, 12), "h": (5, 14)}
+#: such pairs differ least, and held against those of three and of five words; the radii take in nearly all pairs of similarity 0.8, and more.
+SIMILAR = {"f": (1, 6), "g": (3, 14), "h": (5, 16)}
+SIMILARITY = 0.8
+#: Nearer pairs are linked first.
+_STEPS = (6, 10, 14, 18, 22, 26, 30, 36)
 
 
-def keep(documents: DataFrame, similar: dict[str, tuple[int, int]] = SIMILAR) -> DataFrame:
-    """One document (that of the least id) of every group of near-duplicates, with all its columns."""
+def shingle_sets(texts: pa.Array, width: int = 5) -> pa.Array:
+    """The distinct shingle hashes of every text, as lists; a text of fewer words is one shingle."""
+    flat = C.Flat(texts)
+    mask = C.WORD_BYTE[flat.data]
+    starts, ends, first = flat.spans(mask)
+    ids, distinct = C.encoded(C.sliced(C.LOWER[flat.data], starts, ends, mask))
+    word = np.array([xxhash.xxh64_intdigest(w) for w in distinct.to_pylist()], np.uint64)[ids] if len(ids) else np.zeros(0, np.uint64)
+    doc, at = C.doc_of(first), np.arange(len(ids))
+    last = np.minimum(at + width, first[1:][doc]) if len(doc) else at
+    whole = np.flatnonzero((last - at == width) | (at == first[:-1][doc])) if len(doc) else at
+    h = np.full(len(whole), 7, np.uint64)
+    for j in range(width):
+        inside = whole + j < last[whole]
+        h = np.where(inside, C.mixed(h * np.uint64(0xD6E8FEB86659FD93) + word[np.minimum(whole + j, max(len(word) - 1, 0))]), h)
+    order = np.lexsort((h, doc[whole]))
+    d, h = doc[whole][order], h[order]
+    new = np.ones(len(h), bool)
+    new[1:] = (d[1:] != d[:-1]) | (h[1:] != h[:-1])
+    return pa.ListArray.from_arrays(pa.array(np.searchsorted(d[new], np.arange(flat.n + 1)).astype(np.int32)), pa.array(h[new].view(np.int64)))
+
+
+def _shingled(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for block in C.in_blocks(batches):
+        yield pa.RecordBatch.from_arrays([block.column("id"), shingle_sets(block.column("text"))], ["id", "s"])
+
+
+def verified(found: DataFrame, texts: DataFrame, least: float = SIMILARITY) -> DataFrame:
+    """The links (a, b) whose texts (id, text) have shingle sets of that Jaccard similarity."""
+    sets = C.stored(texts.mapInArrow(_shingled, "id bigint, s array<bigint>"))
+    rows = found.join(sets.select(F.col("id").alias("a"), F.col("s").alias("x")), "a").join(sets.select(F.col("id").alias("b"), F.col("s").alias("y")), "b")
+    common = F.size(F.array_intersect("x", "y"))
+    return rows.select("a", "b", common.alias("c"), (F.size("x") + F.size("y")).alias("n")).where((F.col("n") == 0) | (F.col("c") >= least * (F.col("n") - F.col("c")))).select("a", "b")
+
+
+def keep(documents: DataFrame, similar: dict[str, tuple[int, int]] = SIMILAR, least: float = SIMILARITY) -> DataFrame:
+    """One document (that of the least id) of every group of near-duplicates, with all its columns. Links of fingerprints count if the shingle sets bear them out."""
     key = [F.coalesce("doc_id", F.lit(-(2**63))).alias("__i"), F.xxhash64(F.coalesce("text", F.lit(""))).alias("__x")]
     prints = C.stored(fingerprints(documents.select(*key, F.col("text")), {c: w for c, (w, _) in similar.items()}))
     names = list(similar)
     distinct = C.stored(prints.groupBy(*names).agg(F.min(F.struct("__i", "__x")).alias("best")).withColumn("id", F.xxhash64(*names)))
-    rows = classes(distinct, names, [r for _, r in similar.values()])
+    found = C.stored(links(distinct, names, [r for _, r in similar.values()], 1_024, _STEPS).select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct())
+    ends = found.select(F.col("a").alias("id")).unionAll(found.select(F.col("b").alias("id"))).distinct()
+    of = distinct.join(ends, "id", "left_semi").select("id", "best.__i", "best.__x")
+    texts = documents.select(*key, F.col("text")).join(of, ["__i", "__x"]).select("id", "text")
+    rows = joined(distinct, verified(found, texts, least))
     best = C.stored(rows.groupBy("root").agg(F.min("best").alias("best")).select("best.__i", "best.__x"))
     once = F.row_number().over(Window.partitionBy("__i", "__x").orderBy("__x"))  # repeated rows of one document
     return documents.select("*", *key).join(best, ["__i", "__x"]).withColumn("__n", once).where("__n = 1").select(documents.columns)

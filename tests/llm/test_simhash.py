@@ -79,3 +79,24 @@ def test_score_and_keep(spark):
     assert sorted((r.doc_id or 0, r.root) for r in kept.collect()) in ([(0, "f"), (1, "d"), (3, "b")], [(0, "f"), (1, "d"), (3, "b")])
     empty = docs.limit(0)
     assert S.score(empty).count() == 0 and S.keep(empty).count() == 0
+
+
+def test_shingle_sets():
+    texts = [None, "", "a B c", "a b C d e", "a b c d e a b c d e a b c d e", "x a b c d e"]
+    sets = [set(x) for x in S.shingle_sets(pa.array(texts, pa.string())).to_pylist()]
+    assert [len(s) for s in sets] == [0, 0, 1, 1, 5, 2] and sets[3] < sets[4] and sets[3] < sets[5]
+
+
+def test_similarity_decides(spark):
+    rng = random.Random(8)
+    base = [f"w{k}" for k in rng.choices(range(3000), [1 / (k + 1) for k in range(3000)], k=400)]
+
+    def changed(k):
+        w = list(base)
+        for i in range(k):
+            w[5 + i * 13] = f"q{k}x{i}"
+        return " ".join(w)
+
+    # k changes leave (396 - 5 k) of (396 + 5 k) shingles: 0.89 at 5, 0.5 at 26
+    docs = spark.createDataFrame([(1, " ".join(base)), (2, changed(5)), (3, changed(26))], "doc_id long, text string")
+    assert sorted(r.doc_id for r in S.keep(docs).collect()) == [1, 3]
