@@ -667,12 +667,12 @@ def clipped_spans(spark, sf_dir):
     return qa_datasets.clipped_spans(rows).select("id", F.col("position").cast("bigint").alias("position"), "span", "start", "end")
 
 
-@query("SELECT d.doc_id AS id, instr(d.text, b.text) - 1 AS start, substring(d.text, instr(d.text, b.text), length(b.text)) = b.text AS matches, b.item_id FROM documents d JOIN benchmark b ON contains(d.text, b.text)")
+@query(f"WITH {_QA}, w AS (SELECT id, answer, string_split(answer, ' ')[2] AS a FROM qa), r AS (SELECT id, answer, a, instr(answer, a) - 1 + id % 2 AS start FROM w WHERE a <> '') SELECT id, start::BIGINT AS start, substring(answer, start + 1, length(a)) = a AS matches FROM r")
 def offset_audit(spark, sf_dir):
-    b = F.broadcast(table(spark, sf_dir, "benchmark").select("item_id", F.col("text").alias("answer")))  # a test set
-    d = table(spark, sf_dir, "documents").select(F.col("doc_id").alias("id"), F.col("text").alias("context"))
-    rows = d.join(b, F.contains("context", "answer")).withColumn("start", F.position(F.col("answer"), F.col("context")) - 1)
-    return qa_datasets.offset_audit(rows).select("id", F.col("start").cast("bigint").alias("start"), "matches", "item_id")
+    word = F.get(F.split("answer", " "), F.lit(1)).alias("a")
+    rows = _qa(spark, sf_dir).select("id", F.col("answer").alias("context"), word).where("a != ''").withColumnRenamed("a", "answer")
+    rows = rows.withColumn("start", F.position(F.col("answer"), F.col("context")) - 1 + F.col("id") % 2)  # every other offset is off by one
+    return qa_datasets.offset_audit(rows).select("id", "start", "matches")
 
 
 @query("SELECT 'left' AS side, doc_id AS id FROM (SELECT doc_id FROM documents EXCEPT SELECT doc_id FROM labels) UNION ALL SELECT 'right', doc_id FROM (SELECT doc_id FROM labels EXCEPT SELECT doc_id FROM documents)")
