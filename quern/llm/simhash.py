@@ -36,7 +36,10 @@ BUCKET = 4_096
 def masks(level: int, radius: int = RADIUS) -> list[int]:
     """The 2 ** (radius + 1) - 1 masks of a level. The vectors are dealt evenly, in an order of the level's own."""
     size = 1 << (radius + 1)
-    vectors = np.resize(np.arange(1, size), BITS)
+    if size - 1 > BITS:  # not all vectors are in use: those of one half, so that no mask keeps few bits
+        vectors = np.resize(np.arange(size // 2, size), BITS) if size == 2 * BITS else np.random.default_rng(size).choice(np.arange(1, size), BITS, replace=False)
+    else:
+        vectors = np.resize(np.arange(1, size), BITS)
     vectors = np.random.default_rng(1000 + level).permutation(vectors)
     return [sum(1 << i for i, x in enumerate(vectors) if bin(int(x) & v).count("1") % 2) for v in range(1, size)]
 
@@ -227,7 +230,7 @@ def score(documents: DataFrame, width: int = WIDTH, radius: int = RADIUS) -> Dat
 
 #: keep(): shingles of five words, similar at 0.8 or more. Pairs are found by the fingerprints of single words, in which
 #: such pairs differ least, and held against those of three and of five words; the radii take in nearly all pairs of similarity 0.8, and more.
-SIMILAR = {"f": (1, 6), "g": (3, 14), "h": (5, 16)}
+SIMILAR = {"f": (1, 5), "g": (3, 14), "h": (5, 16)}
 SIMILARITY = 0.8
 #: Nearer pairs are linked first.
 _STEPS = (6, 10, 14, 18, 22, 26, 30, 36)

@@ -26,8 +26,9 @@ def test_fingerprints():
 
 def test_every_close_pair_meets():
     rng = random.Random(3)
-    for radius, level in ((3, 0), (3, 2), (5, 0)):
+    for radius, level in ((3, 0), (3, 2), (5, 0), (6, 0)):
         tables = S.masks(level, radius)
+        assert min(bin(m).count("1") for m in tables) >= 16
         assert len(tables) == 2 ** (radius + 1) - 1
         for _ in range(3000):
             d = sum(1 << b for b in rng.sample(range(64), radius))
