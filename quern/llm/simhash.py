@@ -89,11 +89,16 @@ def fingerprints(documents: DataFrame, widths: dict[str, int]) -> DataFrame:
     return documents.mapInArrow(run, schema)
 
 
-def forest(columns: list[np.ndarray], radii: list[int], steps: tuple[int, ...] = (1 << 30,), tile: int = 512) -> tuple[np.ndarray, np.ndarray]:
-    """Links of a spanning forest of rows that lie within every column's radius of each other; of sums of distances under a smaller step, links come first."""
+def forest(columns: list[np.ndarray], radii: list[int], steps: tuple[int, ...] = (1 << 30,), tile: int = 512, at_once: int = 1_000_000) -> tuple[np.ndarray, np.ndarray]:
+    """Links of a spanning forest of rows that lie within every column's radius of each other; of sums of distances under a smaller step, links come first.
+
+    Pairs are few as a rule and found in one pass; beyond `at_once` of them there is a pass for each step, and none is kept.
+    """
     columns = [c.view(np.uint64) for c in columns]
     n = len(columns[0])
     parent = np.arange(n)
+    a: list[int] = []
+    b: list[int] = []
 
     def root(i: int) -> int:
         while parent[i] != i:
@@ -101,8 +106,7 @@ def forest(columns: list[np.ndarray], radii: list[int], steps: tuple[int, ...] =
             i = parent[i]
         return i
 
-    a, b = [], []
-    for step in steps:
+    def pairs():
         for x in range(0, n, tile):
             first = np.bitwise_count(columns[0][x : x + tile, None] ^ columns[0][None, x:])
             i, j = np.nonzero(first <= radii[0])
@@ -113,13 +117,33 @@ def forest(columns: list[np.ndarray], radii: list[int], steps: tuple[int, ...] =
                 d = np.bitwise_count(c[i] ^ c[j])
                 ok &= d <= r
                 total += d
-            ok &= total <= step
-            for p, q in zip(i[ok].tolist(), j[ok].tolist(), strict=True):
-                rp, rq = root(p), root(q)
-                if rp != rq:
-                    parent[max(rp, rq)] = min(rp, rq)
-                    a.append(p)
-                    b.append(q)
+            yield i[ok], j[ok], total[ok]
+
+    def linked(i: np.ndarray, j: np.ndarray) -> None:
+        for p, q in zip(i.tolist(), j.tolist(), strict=True):
+            rp, rq = root(p), root(q)
+            if rp != rq:
+                parent[max(rp, rq)] = min(rp, rq)
+                a.append(p)
+                b.append(q)
+                if len(a) == n - 1:
+                    return
+
+    held, size = [], 0
+    for part in pairs():
+        held.append(part)
+        size += len(part[0])
+        if size > at_once:
+            break
+    if size <= at_once:
+        i, j, total = (np.concatenate(c) for c in zip(*held, strict=True)) if held else (np.zeros(0, np.int64),) * 3
+        order = np.argsort(np.searchsorted(np.array(steps), total), kind="stable")
+        linked(i[order], j[order])
+    else:
+        del held
+        for step in steps:
+            for i, j, total in pairs():
+                linked(i[total <= step], j[total <= step])
     return np.array(a, np.int64), np.array(b, np.int64)
 
 
@@ -276,7 +300,7 @@ def keep(documents: DataFrame, similar: dict[str, tuple[int, int]] = SIMILAR, le
     prints = C.stored(fingerprints(documents.select(*key, F.col("text")), {c: w for c, (w, _) in similar.items()}))
     names = list(similar)
     distinct = C.stored(prints.groupBy(*names).agg(F.min(F.struct("__i", "__x")).alias("best")).withColumn("id", F.xxhash64(*names)))
-    found = C.stored(links(distinct, names, [r for _, r in similar.values()], 1_024, _STEPS).select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct())
+    found = C.stored(links(distinct, names, [r for _, r in similar.values()], BUCKET, _STEPS).select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct())
     ends = found.select(F.col("a").alias("id")).unionAll(found.select(F.col("b").alias("id"))).distinct()
     of = distinct.join(ends, "id", "left_semi").select("id", "best.__i", "best.__x")
     texts = documents.select(*key, F.col("text")).join(of, ["__i", "__x"]).select("id", "text")
