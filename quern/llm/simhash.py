@@ -252,12 +252,12 @@ def score(documents: DataFrame, width: int = WIDTH, radius: int = RADIUS) -> Dat
     return prints.join(of, "f").select("doc_id", F.lpad(F.lower(F.hex("f")), 16, "0").alias("fingerprint"), "component_id")
 
 
-#: keep(): shingles of five words, similar at 0.8 or more. Pairs are found by the fingerprints of single words, in which
-#: such pairs differ least, and held against those of three and of five words; the radii take in nearly all pairs of similarity 0.8, and more.
-SIMILAR = {"f": (1, 5), "g": (3, 14), "h": (5, 16)}
+#: keep(): shingles of five words, similar at 0.8 or more.
 SIMILARITY = 0.8
-#: Nearer pairs are linked first.
-_STEPS = (6, 10, 14, 18, 22, 26, 30, 36)
+#: Candidates share a band, the least hashes of a shingle set under BAND functions. A pair of similarity 0.8 shares none of BANDS with a probability of (1 - 0.8 ** 6) ** 56 = 4e-8, wherever its texts differ.
+BANDS, BAND = 56, 6
+#: Shingles that a task compares at once.
+TILE = 1_000_000
 
 
 def shingle_sets(texts: pa.Array, width: int = 5) -> pa.Array:
@@ -281,30 +281,153 @@ def shingle_sets(texts: pa.Array, width: int = 5) -> pa.Array:
     return pa.ListArray.from_arrays(pa.array(np.searchsorted(d[new], np.arange(flat.n + 1)).astype(np.int32)), pa.array(h[new].view(np.int64)))
 
 
+def bands_of(sets: pa.Array, seed: int = SEED) -> tuple[np.ndarray, np.ndarray]:
+    """A 64-bit name of every shingle set, and its bands (sets, BANDS); the band's number is part of it."""
+    n = np.asarray(sets.value_lengths()).astype(np.int64)
+    v = np.asarray(sets.flatten()).view(np.uint64)
+    some = np.flatnonzero(n)
+    out = np.zeros((len(n), BANDS), np.uint64)
+    name = np.zeros(len(n), np.uint64)
+    if len(some):
+        begin = (np.cumsum(n) - n)[some]
+        name[some] = C.mixed(np.add.reduceat(C.mixed(v * np.uint64(0xD6E8FEB86659FD93)), begin) + n[some].astype(np.uint64))
+        low, h = v.astype(np.uint32), np.empty(len(v), np.uint32)
+        rng = np.random.default_rng(seed)
+        for band in range(BANDS):
+            k = np.full(len(some), band + 1, np.uint64)
+            for add, by in rng.integers(0, 1 << 32, (BAND, 2), dtype=np.uint32):
+                np.bitwise_xor(low, add, out=h)
+                np.multiply(h, by | np.uint32(1), out=h)
+                k = C.mixed(k * np.uint64(0xD6E8FEB86659FD93) + np.minimum.reduceat(h, begin))
+            out[some, band] = k
+    return name.view(np.int64), out.view(np.int64)
+
+
+def _banded(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for block in C.in_blocks(batches):
+        sets = shingle_sets(block.column("text"))
+        name, bands = bands_of(sets)
+        lists = pa.ListArray.from_arrays(pa.array((np.arange(len(name) + 1) * BANDS).astype(np.int32)), pa.array(bands.ravel()))
+        yield pa.RecordBatch.from_arrays([block.column("__i"), block.column("__x"), pa.array(name), sets.value_lengths().cast(pa.int64()), lists], ["__i", "__x", "id", "n", "bands"])
+
+
+def _starred(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Reads (k, id) sorted by k; links every id of a bucket to the bucket's first."""
+    key = hub = None
+    for batch in batches:
+        k, ids = np.asarray(batch.column("k")), np.asarray(batch.column("id"))
+        if not len(k):
+            continue
+        new = np.ones(len(k), bool)
+        new[1:] = k[1:] != k[:-1]
+        new[0] = key is None or k[0] != key
+        at = np.maximum.accumulate(np.where(new, np.arange(len(k)), -1))
+        first = np.where(at < 0, hub if hub is not None else 0, ids[at])
+        key, hub = k[-1], first[-1]
+        apart = first != ids
+        yield pa.RecordBatch.from_arrays([pa.array(np.minimum(first, ids)[apart]), pa.array(np.maximum(first, ids)[apart])], ["a", "b"])
+
+
+def similar(v: np.ndarray, n: np.ndarray, least: float = SIMILARITY) -> tuple[np.ndarray, np.ndarray]:
+    """Links of a spanning forest of all pairs of sets with that Jaccard similarity; set i has the next n[i] of v. Exact: a set is held against every set that shares a member and is not linked yet."""
+    m = len(n)
+    doc = np.repeat(np.arange(m), n)
+    _, member, times = np.unique(v, return_inverse=True, return_counts=True)
+    shared = times[member] > 1
+    free = (n > 0) & (np.bincount(doc[shared], minlength=m) >= least * n - 1e-6)
+    use = shared & free[doc]
+    doc = doc[use]
+    _, member = np.unique(member[use], return_inverse=True)
+    first = np.searchsorted(doc, np.arange(m + 1))
+    by = np.argsort(member, kind="stable")
+    holder, sorted_member = doc[by], member[by]
+    start = np.searchsorted(sorted_member, np.arange(len(by) + 1))
+    live, a, b = int(free.sum()), [], []
+    for seed in np.flatnonzero(free).tolist():
+        todo = [seed] if free[seed] else []
+        free[seed] = False
+        while todo:
+            x = todo.pop()
+            mine = member[first[x] : first[x + 1]]
+            both = np.bincount(holder[C.take_spans(start[mine], start[mine + 1])], minlength=m)
+            hit = np.flatnonzero(free & (both >= least * (n[x] + n - both)))
+            if len(hit):
+                free[hit] = False
+                a += [x] * len(hit)
+                b += hit.tolist()
+                todo += hit.tolist()
+                if (left := int(free.sum())) * 2 < live:  # those that are linked need not be met again
+                    live, still = left, free[holder]
+                    holder, sorted_member = holder[still], sorted_member[still]
+                    start = np.searchsorted(sorted_member, np.arange(len(by) + 1))
+    return np.array(a, np.int64), np.array(b, np.int64)
+
+
+def _tiles(least: float):
+    """Reads (root, tile, id, s) sorted by root, tile; gives the links (a, b) of each tile."""
+
+    def closed(held):
+        ids = np.concatenate([h[0] for h in held])
+        n = np.concatenate([h[1] for h in held])
+        a, b = similar(np.concatenate([h[2] for h in held]), n, least)
+        return pa.RecordBatch.from_arrays([pa.array(ids[a], pa.int64()), pa.array(ids[b], pa.int64())], ["a", "b"])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        key, held = None, []
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            root, tile, ids, sets = (batch.column(c) for c in ("root", "tile", "id", "s"))
+            root, tile, ids = np.asarray(root), np.asarray(tile), np.asarray(ids)
+            n = np.asarray(sets.value_lengths()).astype(np.int64)
+            v, off = np.asarray(sets.flatten()), np.concatenate([[0], np.cumsum(n)])
+            cut = np.flatnonzero((root[1:] != root[:-1]) | (tile[1:] != tile[:-1])) + 1
+            for s, e in zip([0, *cut.tolist()], [*cut.tolist(), len(root)], strict=True):
+                if key != (root[s], tile[s]):
+                    if held:
+                        yield closed(held)
+                    key, held = (root[s], tile[s]), []
+                held.append((ids[s:e], n[s:e], v[off[s] : off[e]]))
+        if held:
+            yield closed(held)
+
+    return run
+
+
 def _shingled(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for block in C.in_blocks(batches):
         yield pa.RecordBatch.from_arrays([block.column("id"), shingle_sets(block.column("text"))], ["id", "s"])
 
 
-def verified(found: DataFrame, texts: DataFrame, least: float = SIMILARITY) -> DataFrame:
-    """The links (a, b) whose texts (id, text) have shingle sets of that Jaccard similarity."""
-    sets = C.stored(texts.mapInArrow(_shingled, "id bigint, s array<bigint>"))
-    rows = found.join(sets.select(F.col("id").alias("a"), F.col("s").alias("x")), "a").join(sets.select(F.col("id").alias("b"), F.col("s").alias("y")), "b")
-    common = F.size(F.array_intersect("x", "y"))
-    return rows.select("a", "b", common.alias("c"), (F.size("x") + F.size("y")).alias("n")).where((F.col("n") == 0) | (F.col("c") >= least * (F.col("n") - F.col("c")))).select("a", "b")
-
+def verified(found: DataFrame, sizes: DataFrame, texts: DataFrame, least: float = SIMILARITY, most: int = TILE) -> DataFrame:
+    """Links (a, b), enough to connect all similar texts (id, text) that the links found connect. sizes (id, n): shingles of each.
 
-def keep(documents: DataFrame, similar: dict[str, tuple[int, int]] = SIMILAR, least: float = SIMILARITY) -> DataFrame:
-    """One document (that of the least id) of every group of near-duplicates, with all its columns. Links of fingerprints count if the shingle sets bear them out."""
+    A component of more than `most` shingles is cut into blocks of half of that; every two blocks meet in a tile.
+    """
+    roots = components(found)
+    roots = C.stored(roots.unionAll(roots.select(F.col("root").alias("node"), "root").distinct()))
+    total = roots.join(sizes, roots["node"] == sizes["id"]).groupBy("root").agg(F.ceil(2 * F.sum("n") / F.lit(most)).cast("bigint").alias("k"))
+    of = roots.join(total.withColumn("k", F.when(F.col("k") > 2, F.col("k")).otherwise(1)), "root").withColumn("block", F.pmod(F.xxhash64("node"), "k"))
+    others = F.filter(F.sequence(F.lit(0).cast("bigint"), F.col("k") - 1), lambda x: x != F.col("block"))
+    tiles = F.when(F.col("k") == 1, F.array(F.lit(0).cast("bigint"))).otherwise(F.transform(others, lambda x: F.least(x, "block") * F.col("k") + F.greatest(x, "block")))
+    placed = of.select("root", F.explode(tiles).alias("tile"), F.col("node").alias("id"))
+    sets = texts.mapInArrow(_shingled, "id bigint, s array<bigint>")
+    rows = placed.join(sets, "id").select("root", "tile", "id", "s").repartition("root", "tile").sortWithinPartitions("root", "tile")
+    return rows.mapInArrow(_tiles(least), "a bigint, b bigint")
+
+
+def keep(documents: DataFrame, least: float = SIMILARITY) -> DataFrame:
+    """One document (that of the least id) of every group of near-duplicates, with all its columns. Candidates share a band of least hashes; all of a component are held against each other by their shingle sets."""
     key = [F.coalesce("doc_id", F.lit(-(2**63))).alias("__i"), F.xxhash64(F.coalesce("text", F.lit(""))).alias("__x")]
-    prints = C.stored(fingerprints(documents.select(*key, F.col("text")), {c: w for c, (w, _) in similar.items()}))
-    names = list(similar)
-    distinct = C.stored(prints.groupBy(*names).agg(F.min(F.struct("__i", "__x")).alias("best")).withColumn("id", F.xxhash64(*names)))
-    found = C.stored(links(distinct, names, [r for _, r in similar.values()], BUCKET, _STEPS).select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct())
+    texts = documents.select(*key, F.col("text"))
+    prints = C.stored(texts.mapInArrow(_banded, "__i bigint, __x bigint, id bigint, n bigint, bands array<bigint>"))
+    distinct = C.stored(prints.groupBy("id").agg(F.min(F.struct("__i", "__x")).alias("best"), F.any_value("n").alias("n"), F.any_value("bands").alias("bands")))
+    rows = distinct.where("n > 0").select(F.explode("bands").alias("k"), "id").repartition("k").sortWithinPartitions("k")
+    found = C.stored(rows.mapInArrow(_starred, "a bigint, b bigint").distinct())
     ends = found.select(F.col("a").alias("id")).unionAll(found.select(F.col("b").alias("id"))).distinct()
-    of = distinct.join(ends, "id", "left_semi").select("id", "best.__i", "best.__x")
-    texts = documents.select(*key, F.col("text")).join(of, ["__i", "__x"]).select("id", "text")
-    rows = joined(distinct, verified(found, texts, least))
+    of = distinct.join(ends, "id", "left_semi").select("id", "best.__i", "best.__x").distinct()
+    first = texts.join(of, ["__i", "__x"]).dropDuplicates(["id"]).select("id", "text")
+    rows = joined(distinct.select("id", "best"), verified(found, distinct.select("id", "n"), first, least))
     best = C.stored(rows.groupBy("root").agg(F.min("best").alias("best")).select("best.__i", "best.__x"))
     once = F.row_number().over(Window.partitionBy("__i", "__x").orderBy("__x"))  # repeated rows of one document
     return documents.select("*", *key).join(best, ["__i", "__x"]).withColumn("__n", once).where("__n = 1").select(documents.columns)

@@ -101,3 +101,48 @@ def test_similarity_decides(spark):
     # k changes leave (396 - 5 k) of (396 + 5 k) shingles: 0.89 at 5, 0.5 at 26
     docs = spark.createDataFrame([(1, " ".join(base)), (2, changed(5)), (3, changed(26))], "doc_id long, text string")
     assert sorted(r.doc_id for r in S.keep(docs).collect()) == [1, 3]
+
+
+def jaccard_components(texts):
+    sets = [set(x) for x in S.shingle_sets(pa.array(texts)).to_pylist()]
+    near = [[j for j in range(len(sets)) if len(x & sets[j]) >= 0.8 * len(x | sets[j])] for x in sets]
+    out = list(range(len(sets)))
+    while (new := [min(out[j] for j in near[i]) for i in range(len(sets))]) != out:
+        out = new
+    return out
+
+
+def edited(rng, words, k):
+    w = list(words)
+    for i in rng.sample(range(len(w)), k):
+        w[i] = f"z{rng.randrange(10**6)}"
+    return " ".join(w)
+
+
+def kept_of(spark, texts):
+    return sorted(r.doc_id for r in S.keep(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")).collect())
+
+
+def test_no_similar_pair_is_left_out_of_a_group(spark):
+    rng = random.Random(31)
+    texts = []
+    for _ in range(12):  # pairs on both sides of 0.8, linked through some members only
+        base = [f"w{rng.randrange(4000)}" for _ in range(200)]
+        texts += [edited(rng, base, rng.randrange(1, 6)) for _ in range(25)]
+    assert kept_of(spark, texts) == sorted(set(jaccard_components(texts)))
+
+
+def test_tiles_meet(spark):
+    rng = random.Random(32)
+    base = [f"w{k}" for k in range(60)]
+    texts = [edited(rng, base, rng.randrange(1, 4)) for _ in range(60)]
+    docs = spark.createDataFrame(list(enumerate(texts)), "id long, text string")
+    sizes = spark.createDataFrame([(i, len(s)) for i, s in enumerate(S.shingle_sets(pa.array(texts)).to_pylist())], "id long, n long")
+    star = spark.createDataFrame([(0, i) for i in range(1, 60)], "a long, b long")
+    want = jaccard_components(texts)
+    for most in (S.TILE, 700):
+        out = list(range(60))
+        for a, b in S.verified(star, sizes, docs, most=most).collect():
+            x, y = sorted((out[a], out[b]))
+            out = [x if v == y else v for v in out]
+        assert out == want and 1 < len(set(want)) < 60
