@@ -146,3 +146,21 @@ def test_tiles_meet(spark):
             x, y = sorted((out[a], out[b]))
             out = [x if v == y else v for v in out]
         assert out == want and 1 < len(set(want)) < 60
+
+
+def tails(rng, n, count):
+    """Pairs (text, the same with an appended or a replaced tail) of similarity 0.8 or more."""
+    out = []
+    for i in range(count):
+        w = [f"w{rng.randrange(5000)}" for _ in range(n)]
+        new = [f"v{rng.randrange(5000)}" for _ in range(max(1, n // 5 - 2 if i % 2 else n // 10 - 2))]
+        out.append((" ".join(w), " ".join(w + new if i % 2 else w[: n - len(new)] + new)))
+    return out
+
+
+def test_changed_tails_are_found(spark):
+    rng = random.Random(33)
+    pairs = [p for n in (30, 100, 200) for p in tails(rng, n, 40)]
+    texts = [t for p in pairs for t in p]
+    assert sum(len(x & y) >= 0.8 * len(x | y) for x, y in ((set(a), set(b)) for a, b in (S.shingle_sets(pa.array(p)).to_pylist() for p in pairs))) > 110
+    assert kept_of(spark, texts) == sorted(set(jaccard_components(texts)))
