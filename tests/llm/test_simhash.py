@@ -164,3 +164,10 @@ def test_changed_tails_are_found(spark):
     texts = [t for p in pairs for t in p]
     assert sum(len(x & y) >= 0.8 * len(x | y) for x, y in ((set(a), set(b)) for a, b in (S.shingle_sets(pa.array(p)).to_pylist() for p in pairs))) > 110
     assert kept_of(spark, texts) == sorted(set(jaccard_components(texts)))
+
+
+def test_many_texts_of_one_fingerprint(spark):
+    rng = random.Random(34)
+    texts = [" ".join(["the"] * 7 + [f"w{rng.randrange(10**6)}" for _ in range(6)]) for _ in range(S.BUCKET + 500)]
+    assert len(set(S.fingerprints_of(pa.array(texts), 1).tolist())) == 1
+    assert kept_of(spark, [*texts, texts[7], texts[9] + " "]) == list(range(len(texts)))
