@@ -180,12 +180,23 @@ def removed(spark: SparkSession, *frames: DataFrame) -> None:
             path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
 
 
-def labelled_ids(labels: DataFrame, label: str, limit: int, keep: Column | None = None) -> DataFrame:
-    """At most `limit` ids (doc_id, y) of each class, chosen by a hash of the id; repeated ids count once, with their largest label."""
+def all_labelled_ids(labels: DataFrame, label: str, keep: Column | None = None) -> DataFrame:
+    """The labelled ids (doc_id, y); repeated ids count once, with their largest label."""
     ids = labels.select("doc_id", F.col(label).cast("int").alias("y")).where(F.col("doc_id").isNotNull() & F.col("y").isin(0, 1))
     if keep is not None:
         ids = ids.where(keep)
-    ids = ids.groupBy("doc_id").agg(F.max("y").alias("y"))
+    return ids.groupBy("doc_id").agg(F.max("y").alias("y"))
+
+
+def class_sizes(labels: DataFrame, label: str) -> tuple[int, int]:
+    """Numbers of labelled ids of class 0 and 1."""
+    n = {r["y"]: r["count"] for r in all_labelled_ids(labels, label).groupBy("y").count().collect()}
+    return n.get(0, 0), n.get(1, 0)
+
+
+def labelled_ids(labels: DataFrame, label: str, limit: int, keep: Column | None = None) -> DataFrame:
+    """At most `limit` ids (doc_id, y) of each class, chosen by a hash of the id; repeated ids count once, with their largest label."""
+    ids = all_labelled_ids(labels, label, keep)
     of = lambda y: ids.where(F.col("y") == y).orderBy(F.xxhash64("doc_id"), "doc_id").limit(limit)
     return of(0).unionAll(of(1))
 

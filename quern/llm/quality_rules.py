@@ -209,11 +209,15 @@ def _sample_features(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBat
 
 
 def fit(documents: DataFrame, labels: DataFrame, label: str = "quality", limit: int = TRAIN_ROWS) -> Trees:
-    """Trees fitted on at most `limit` labelled documents; only their statistics (a few numbers each) reach the driver."""
+    """Trees fitted on at most `limit` labelled documents of each class; only their statistics (a few numbers each) reach the driver. The margin is shifted to the class ratio of all labels."""
     rows = C.labelled_rows(documents, labels, label, limit).mapInArrow(_sample_features, _FEATURES).toArrow()
     y = np.asarray(rows["y"]).astype(float)
     x = np.array(rows["x"].to_pylist(), float).reshape(len(y), len(STATISTICS))
-    return fit_trees(x, y, list(STATISTICS.values()))
+    trees = fit_trees(x, y, list(STATISTICS.values()))
+    cut = [max(n / limit, 1.0) for n in C.class_sizes(labels, label)]
+    if 0 < y.sum() < len(y):
+        trees.base += float(np.log(cut[1] / cut[0]))
+    return trees
 
 
 RESULT = "doc_id bigint, n_words bigint, word_chars bigint, n_symbols bigint, n_dup_lines bigint, n_repeat_words bigint, base_failed boolean, score double, kept boolean"

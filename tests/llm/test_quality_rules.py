@@ -65,3 +65,12 @@ def test_spark_edges(spark):
     assert kept.columns == docs.columns and [r.doc_id for r in kept.collect()] == [3]
     empty = docs.limit(0)
     assert Q.score(empty, Q.fit(empty, labels.limit(0))).count() == 0
+
+
+def test_sample_keeps_the_class_ratio(spark):
+    text = " ".join(f"w{i}" for i in range(40))
+    docs = spark.createDataFrame([(i, text) for i in range(400)], "doc_id long, text string")
+    labels = spark.createDataFrame([(i, int(i % 4 > 0)) for i in range(400)], "doc_id long, quality int")
+    x = Q.document_statistics(pa.array([text]))[1]
+    for limit in (Q.TRAIN_ROWS, 150, 60):  # all labels; one class is cut; both are
+        assert abs(Q.fit(docs, labels, limit=limit).probability(x)[0] - 0.75) < 0.01
