@@ -8,11 +8,16 @@ non-zero v is orthogonal to them all, so every pair within the radius meets in a
 Copies share a fingerprint, so the index holds each fingerprint once.  A bucket streams
 through a task sorted; one of more than BUCKET fingerprints is not compared there but dealt
 again by a second family of masks on top of the first (and so on), which keeps the
-guarantee.  Only a spanning forest of a bucket's links leaves it.
+guarantee.  A mask drops half of the bits that are still in play, so from the third deal on a
+bucket has room for 2 ** 8 fingerprints at most and none is dealt again.  Only a spanning
+forest of a bucket's links leaves it.
 
 Defined results: a null or empty text, or one without words, has fingerprint 0, linked like
 any other.  A null doc_id belongs to the component of its text; a component of null ids
-alone has a null component_id.
+alone has a null component_id.  Repeated rows and copies share a fingerprint and a component; a
+very long text has one like any other; an empty table gives an empty one.  score() reads doc_id
+and text alone; keep() passes other columns on, whatever their names, and keeps one row of
+repeated ones; texts without words are copies of each other there.
 """
 
 from __future__ import annotations
@@ -154,7 +159,7 @@ def _in_buckets(names: list[str], radii: list[int], most: int, steps: tuple[int,
         labels = ["a", "b", "t", *names]
 
         def linked(a, b):
-            none = [pa.nulls(len(a), pa.int32()), *(pa.nulls(len(a), pa.int64()) for _ in names)]
+            none = [pa.nulls(len(a), pa.int64()), *(pa.nulls(len(a), pa.int64()) for _ in names)]
             return pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64()), *none], labels)
 
         key, held, over = None, [], False
@@ -189,7 +194,7 @@ def _in_buckets(names: list[str], radii: list[int], most: int, steps: tuple[int,
                     over = True
                     part = np.concatenate(held, 1)
                     size = part.shape[1]
-                    yield pa.RecordBatch.from_arrays([pa.array(part[0]), pa.nulls(size, pa.int64()), pa.array(np.full(size, t[s]), pa.int32()), *(pa.array(c) for c in part[1:])], labels)
+                    yield pa.RecordBatch.from_arrays([pa.array(part[0]), pa.nulls(size, pa.int64()), pa.array(np.full(size, t[s]), pa.int64()), *(pa.array(c) for c in part[1:])], labels)
                     held = []
         yield from closed()
 
@@ -211,7 +216,7 @@ def _dealt(names: list[str], level: int, radius: int):
                 digits //= n
             for v, m in enumerate(tables[level]):
                 k = (f & (kept | np.uint64(m))).view(np.int64)
-                yield pa.RecordBatch.from_arrays([pa.array((t * n + v).astype(np.int32)), pa.array(k), batch.column("id"), *(batch.column(c) for c in names)], ["t", "k", "id", *names])
+                yield pa.RecordBatch.from_arrays([pa.array(t * n + v), pa.array(k), batch.column("id"), *(batch.column(c) for c in names)], ["t", "k", "id", *names])
 
     return run
 
@@ -219,10 +224,10 @@ def _dealt(names: list[str], level: int, radius: int):
 def links(distinct: DataFrame, names: list[str], radii: list[int], most: int = BUCKET, steps: tuple[int, ...] = (1 << 30,)) -> DataFrame:
     """Links (a, b) of ids, enough to connect all rows (id, *names) that lie within every radius; the first column is the one indexed, steps as for forest()."""
     kinds = ", ".join(f"{c} bigint" for c in names)
-    todo, found, level = distinct.select("id", F.lit(0).alias("t"), *names), None, 0
+    todo, found, level = distinct.select("id", F.lit(0).cast("bigint").alias("t"), *names), None, 0
     while True:
-        rows = todo.mapInArrow(_dealt(names, level, radii[0]), f"t int, k bigint, id bigint, {kinds}")
-        step = C.stored(rows.repartition("t", "k").sortWithinPartitions("t", "k").mapInArrow(_in_buckets(names, radii, most, steps), f"a bigint, b bigint, t int, {kinds}"))
+        rows = todo.mapInArrow(_dealt(names, level, radii[0]), f"t bigint, k bigint, id bigint, {kinds}")
+        step = C.stored(rows.repartition("t", "k").sortWithinPartitions("t", "k").mapInArrow(_in_buckets(names, radii, most, steps), f"a bigint, b bigint, t bigint, {kinds}"))
         now = step.where("b is not null").select("a", "b")
         found = now if found is None else found.unionAll(now)
         again = step.where("b is null")
@@ -429,5 +434,6 @@ def keep(documents: DataFrame, least: float = SIMILARITY) -> DataFrame:
     first = texts.join(of, ["__i", "__x"]).dropDuplicates(["id"]).select("id", "text")
     rows = joined(distinct.select("id", "best"), verified(found, distinct.select("id", "n"), first, least))
     best = C.stored(rows.groupBy("root").agg(F.min("best").alias("best")).select("best.__i", "best.__x"))
+    held = documents.select(F.struct("*").alias("row"), *key)  # whatever its columns are called
     once = F.row_number().over(Window.partitionBy("__i", "__x").orderBy("__x"))  # repeated rows of one document
-    return documents.select("*", *key).join(best, ["__i", "__x"]).withColumn("__n", once).where("__n = 1").select(documents.columns)
+    return held.join(best, ["__i", "__x"]).withColumn("n", once).where("n = 1").select("row.*")
