@@ -4,21 +4,30 @@ A string of LENGTH bytes that starts in two places has the same least k-gram (by
 leftmost of equals) among its first WINDOW ones, and the same bytes there; so its starts are
 dealt by the text behind that anchor, and both meet in one task.  A run of starts with one
 anchor is a block; its context is all text that its strings cover.  Blocks whose anchor
-text occurs once need no more work.  A task sorts the suffixes of its contexts by the
-difference-cover algorithm (suffix_array) and compares adjacent prefixes of LENGTH bytes:
-the starts that agree with a neighbour are repeats.
+text occurs once need no more work, and equal contexts are counted and go on as one.  A task
+sorts the suffixes of its contexts by the difference-cover algorithm (suffix_array) and
+compares adjacent prefixes of LENGTH bytes: the starts that agree with a neighbour are
+repeats.  Anchor texts whose contexts all occur twice, or with two contexts in all (held
+against each other from the anchor outwards), need no sort.
 
-Copies of a whole text are found by digest and go through the sort once.  An anchor text
-with more contexts than GROUP_BYTES is dealt again by whole strings, one start a row.
+An anchor text with more than HOT contexts is dealt by more text: its starts are cut into
+cells by their distance from the anchor, and a cell goes by all text that its strings share;
+cells that are still crowded are cut finer, down to one start, whose text is the whole string.
+
+Copies of a whole text are found by digest and go through the sort once.  Texts and contexts
+are told apart by 128 bits of a digest.
 
 Defined results: a null text is an empty one; a text under LENGTH bytes, or an empty one, is
-kept whole.  Repeated rows are copies of each other like any others.  Documents are told
-apart by 64-bit hashes of their texts.
+kept whole; an empty table gives an empty one.  Very long texts are handled whole, as one block
+of a task.  Repeated rows are copies of each other like any others, and all copies of a text go:
+no one of them is preferred.  score() reads doc_id and text alone; keep() passes other columns
+on, whatever their names.
 """
 
 from __future__ import annotations
 
 import hashlib
+import re
 from collections.abc import Iterator
 
 import numpy as np
@@ -32,8 +41,10 @@ from quern.llm import common as C
 from quern.llm.suffix_array import suffix_array
 
 LENGTH, GRAM = 400, 16
-#: Bytes sorted at once, and the most that one anchor text may bring.
-SORT_BYTES, GROUP_BYTES = 2 << 20, 48 << 20
+#: Bytes sorted at once; contexts of an anchor text or a cell beyond which it is cut.
+SORT_BYTES, HOT = 2 << 20, 8_192
+#: Distances from the anchor that a cell spans, one level after another.
+CELLS = (48, 12, 3, 1)
 #: Bytes of text hashed at once: every byte takes some ten numbers of eight bytes.
 HASH_BYTES = 1 << 20
 
@@ -69,18 +80,18 @@ class Hashes:
         return C.mixed((self.sums[b] - self.sums[a]) * self.down[a])
 
 
-def blocks_of(flat: C.Flat, length: int = LENGTH, gram: int = GRAM) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """(document, first start, number of starts, hash of the anchor's text) of every block."""
+def blocks_of(flat: C.Flat, length: int = LENGTH, gram: int = GRAM) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """(document, first start, number of starts, the anchor's place from the first start, hash of the anchor's text) of every block."""
     window = (length - gram) // 2
     n = len(flat.data)
     none = np.zeros(0, np.int64)
     size = np.diff(flat.off)
     if not n or size.max(initial=0) < length:
-        return none, none, none, none.astype(np.uint64)
+        return none, none, none, none, none.astype(np.uint64)
     h = Hashes(flat.data)
     m = n - gram + 1
     place = np.arange(m)
-    v = h.of(place, place + gram)
+    v = C.mixed((h.sums[gram:] - h.sums[:-gram]) * h.down[:m])
     v &= np.uint64(0xFFFFFFFF00000000)
     v |= place.astype(np.uint64)
     full = -(-m // window) * window
@@ -97,23 +108,28 @@ def blocks_of(flat: C.Flat, length: int = LENGTH, gram: int = GRAM) -> tuple[np.
     first, anchor = starts[at], anchor[at]
     count = np.diff(np.append(at, len(starts)))
     doc = np.searchsorted(flat.off, first, "right") - 1
-    return doc, first - flat.off[doc], count, h.of(anchor, anchor + length - window)
+    return doc, first - flat.off[doc], count, anchor - first, h.of(anchor, anchor + length - window)
 
 
-_BLOCKS = "k bigint, t bigint, a bigint, n int"
+_BLOCKS = "k bigint, t binary, a bigint, n int, o int"
 
 
 def _blocks(length: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for block in C.in_blocks(batches, budget=HASH_BYTES):
-            doc, a, n, k = blocks_of(C.Flat(block.column("text")), length)
-            yield pa.RecordBatch.from_arrays([pa.array(k.view(np.int64)), block.column("t").take(pa.array(doc)), pa.array(a), pa.array(n.astype(np.int32))], ["k", "t", "a", "n"])
+            doc, a, n, o, k = blocks_of(C.Flat(block.column("text")), length)
+            yield pa.RecordBatch.from_arrays(
+                [pa.array(k.view(np.int64)), block.column("t").take(pa.array(doc)), pa.array(a), pa.array(n.astype(np.int32)), pa.array(o.astype(np.int32))], ["k", "t", "a", "n", "o"]
+            )
 
     return run
 
 
+_CONTEXTS = "k bigint, h binary, t binary, a bigint, n int, o int, context binary, hot boolean"
+
+
 def _contexts(length: int):
-    """(t, text, blocks) to (k, h, t, a, n, context); h is the context's hash, and the context is null where an earlier row of the block has it."""
+    """(t, text, blocks) to a row for each block: h is the digest of its context."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for block in C.in_blocks(batches, budget=1 << 20):
@@ -121,160 +137,223 @@ def _contexts(length: int):
             lists = block.column("blocks")
             of = np.repeat(np.arange(block.num_rows), np.asarray(lists.value_lengths()))
             b = lists.flatten()
-            a, n = np.asarray(b.field("a")), np.asarray(b.field("n"))
-            start = flat.off[of] + a
-            h = Hashes(flat.data).of(start, start + n + length - 1).view(np.int64)
-            # equal contexts, as a periodic text has by the hundred, bring their bytes once
-            k = np.asarray(b.field("k"))
-            _, first = np.unique(np.stack([k, h]), axis=1, return_index=True)
-            bare = np.ones(len(h), bool)
-            bare[first] = False
-            start, n_ = start[~bare], n[~bare]
-            context = C.sliced(flat.data, start, start + n_ + length - 1).take(pa.array(np.where(bare, 0, np.cumsum(~bare) - 1), mask=bare))
-            yield pa.RecordBatch.from_arrays([b.field("k"), pa.array(h), block.column("t").take(pa.array(of)), b.field("a"), b.field("n"), context], ["k", "h", "t", "a", "n", "context"])
+            start = flat.off[of] + np.asarray(b.field("a"))
+            end = start + np.asarray(b.field("n")) + length - 1
+            raw = flat.data.tobytes()
+            h = [xxhash.xxh3_128_digest(raw[x:y]) for x, y in zip(start.tolist(), end.tolist(), strict=True)]
+            yield pa.RecordBatch.from_arrays(
+                [b.field("k"), pa.array(h, pa.binary()), block.column("t").take(pa.array(of)), b.field("a"), b.field("n"), b.field("o"), C.sliced(flat.data, start, end), b.field("hot")], [c.split()[0] for c in _CONTEXTS.split(", ")]
+            )
+
+    return run
+
+
+def _cells(length: int, width: int):
+    """Rows of contexts to rows of their cells: starts whose distances from the anchor lie in one range of `width`, dealt by the text that all strings of such a cell cover."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in C.in_blocks(batches, "context", 1 << 20):
+            out = []
+            for row in batch.select(["k", "t", "a", "n", "o", "context"]).to_pylist():
+                o, text = row["o"], row["context"]
+                for c in range((o - row["n"] + 1) // width, o // width + 1):
+                    far, near = min(c * width + width - 1, o), max(c * width, o - row["n"] + 1)
+                    shared = text[o - c * width : o + length - (c * width + width - 1)]
+                    part = text[o - far : o - near + length]
+                    k = xxhash.xxh3_64_intdigest(shared, seed=c) - (1 << 63)
+                    out.append((k, xxhash.xxh3_128_digest(part), row["t"], row["a"] + o - far, far - near + 1, far, part, True))
+                if len(out) >= 4_096:
+                    yield _batch(out)
+                    out = []
+            if out:
+                yield _batch(out)
 
     return run
 
 
-def repeated_starts(which: np.ndarray, distinct: pa.Array, length: int = LENGTH) -> np.ndarray:
-    """For every start of contexts distinct[which], one after another: does its string start elsewhere too?"""
-    flat = C.Flat(distinct)
+def _batch(rows: list[tuple]) -> pa.RecordBatch:
+    kinds = (pa.int64(), pa.binary(), pa.binary(), pa.int64(), pa.int32(), pa.int32(), pa.binary(), pa.bool_())
+    return pa.RecordBatch.from_arrays([pa.array(c, kind) for c, kind in zip(zip(*rows, strict=True), kinds, strict=True)], [c.split()[0] for c in _CONTEXTS.split(", ")])
+
+
+def repeated_starts(contexts: pa.Array, length: int = LENGTH) -> np.ndarray:
+    """For every start of the contexts, one after another: does its string start elsewhere too?"""
+    flat = C.Flat(contexts)
     size = np.diff(flat.off)
     starts = size - length + 1
-    # letters 2-257, each context ends in a letter of its own kind below them
-    text = np.ones(len(flat.data) + len(size), np.int64)
+    # letters 2-257; a letter below them ends each context
+    n = len(flat.data) + len(size)
     off = flat.off + np.arange(len(flat.off))
-    inside = np.ones(len(text), bool)
+    inside = np.ones(n, bool)
     inside[off[1:] - 1] = False
-    text[inside] = flat.data.astype(np.int64) + 2
-    valid = np.zeros(len(text), bool)
-    valid[C.take_spans(off[:-1], off[:-1] + starts)] = True
-    order = suffix_array(text)
+    text = np.ones(n, np.int32)
+    text[inside] = flat.data
+    text[inside] += 2
+    valid = np.zeros(n, bool)
+    every = C.take_spans(off[:-1], off[:-1] + starts)
+    valid[every] = True
+    order = suffix_array(text, 257)
     order = order[valid[order]]
-    # adjacent prefixes: hashes first, then the bytes of those that agree
-    h = Hashes(np.where(inside, text - 2, 0).astype(np.uint8))
-    value = h.of(order, order + length)
-    same = np.flatnonzero(value[1:] == value[:-1])
-    for i in range(0, len(same), 20_000):
-        part = same[i : i + 20_000]
-        a, b = order[part][:, None] + np.arange(length), order[part + 1][:, None] + np.arange(length)
-        same[i : i + 20_000] = np.where((text[a] == text[b]).all(1), part, -1)
-    same = same[same >= 0]
-    hit = np.zeros(len(text), bool)
-    hit[order[same]] = hit[order[same + 1]] = True
-    times = np.bincount(which, minlength=len(size))
-    hit[C.take_spans(off[:-1][times > 1], (off[:-1] + starts)[times > 1])] = True
-    return hit[C.take_spans(off[:-1][which], (off[:-1] + starts)[which])]
-
-
-_CONTEXTS = "k bigint, h bigint, t bigint, a bigint, n int, context binary"
-_FOUND = f"{_CONTEXTS}, b bigint"
-
-
-def _size(batch: pa.RecordBatch) -> int:
-    return int(pc.sum(pc.binary_length(batch.column("context"))).as_py() or 0)
-
-
-def _solved(held: list[pa.RecordBatch], length: int) -> Iterator[pa.RecordBatch]:
-    """Runs [a, b) of repeated starts among whole groups."""
-    table = pa.Table.from_batches(held).combine_chunks()
-    k, h, t, a, n = (np.asarray(table[c]) for c in ("k", "h", "t", "a", "n"))
-    context = pa.concat_arrays(table["context"].chunks)
-    ids, distinct = C.encoded(context.drop_null())
-    _, code = np.unique(np.stack([k, h]), axis=1, return_inverse=True)
-    code = code.ravel()
-    of = np.zeros(len(k), np.int64)
-    of[code[np.asarray(context.is_valid())]] = ids
-    which = of[code]
-    hit = repeated_starts(which, distinct, length)
-    row = np.repeat(np.arange(len(n)), n)
-    start = a[row] + np.arange(len(row)) - np.repeat(np.cumsum(n) - n, n)
-    edge = np.ones(len(row) + 1, bool)
-    edge[1:-1] = (row[1:] != row[:-1]) | (hit[1:] != hit[:-1])
-    at = np.flatnonzero(edge)
-    keep = hit[at[:-1]]
-    first, last = at[:-1][keep], (at[1:] - 1)[keep]
-    none = lambda kind: pa.nulls(len(first), kind)
-    columns = [none(pa.int64()), none(pa.int64()), pa.array(t[row[first]]), pa.array(start[first]), none(pa.int32()), none(pa.binary()), pa.array(start[last] + 1)]
-    yield pa.RecordBatch.from_arrays(columns, ["k", "h", "t", "a", "n", "context", "b"])
-
-
-def _sorted_groups(length: int, at_once: int, most: int):
-    """Context rows sorted by k to runs of repeated starts (t, a, b). The rows of a group of more than `most` bytes come out as they are, with b null."""
+    # adjacent prefixes: the last eight bytes first, then whole; in a run of pairs one byte apart the first vouches for the others
+    eight = np.zeros(n, np.uint64)
+    for j in range(8):
+        eight[: n - j] |= text[j:].astype(np.uint64) << np.uint64(8 * j)
+    ends = eight[order + (length - 8)]
+    same = np.flatnonzero(ends[1:] == ends[:-1])
+    pair = (order[same].astype(np.uint64) << np.uint64(32)) | order[same + 1].astype(np.uint64)
+    pair.sort()
+    x, y = (pair >> np.uint64(32)).astype(np.int64), (pair & np.uint64(0xFFFFFFFF)).astype(np.int64)
+    head = np.ones(len(x), bool)
+    head[1:] = (x[1:] != x[:-1] + 1) | (y[1:] != y[:-1] + 1)
+    run = np.cumsum(head) - 1
+    ok = _equal(text, x[head], y[head], length)[run] if len(x) else head
+    doubt = np.flatnonzero(~ok)
+    ok[doubt] = _equal(text, x[doubt], y[doubt], length)
+    hit = np.zeros(n, bool)
+    hit[x[ok]] = hit[y[ok]] = True
+    return hit[every]
+
+
+def _equal(text: np.ndarray, x: np.ndarray, y: np.ndarray, length: int) -> np.ndarray:
+    """Which strings of `length` at x and y are equal."""
+    out = np.zeros(len(x), bool)
+    for i in range(0, len(x), 20_000):
+        a, b = x[i : i + 20_000, None] + np.arange(length), y[i : i + 20_000, None] + np.arange(length)
+        out[i : i + 20_000] = (text[a] == text[b]).all(1)
+    return out
+
+
+def extensions(flat: C.Flat, i: np.ndarray, j: np.ndarray, o: np.ndarray, length: int) -> tuple[np.ndarray, np.ndarray]:
+    """How far contexts i and j agree to the left and to the right of their anchors (o: an anchor's place in its context)."""
+    found = []
+    for step, far in ((-1, int(o.max(initial=0))), (1, 2 * length)):
+        room = [o[r] if step < 0 else flat.off[r + 1] - flat.off[r] - o[r] for r in (i, j)]
+        at = step * np.arange(1 if step < 0 else 0, far + (step < 0))
+        both = np.minimum(*room)
+        a, b = ((flat.off[r] + o[r])[:, None] + at for r in (i, j))
+        top = len(flat.data) - 1
+        same = flat.data[np.clip(a, 0, top)] == flat.data[np.clip(b, 0, top)]
+        same &= np.arange(far) < both[:, None]
+        found.append(np.where(same.all(1), far, same.argmin(1)) if far else np.zeros(len(i), np.int64))
+    return found[0], found[1]
+
+
+_RUNS = "k bigint, h binary, x int, y int"
+
+
+def settled(k: np.ndarray, times: np.ndarray, n: np.ndarray, o: np.ndarray, contexts: pa.Array, length: int) -> np.ndarray:
+    """For every start of the contexts (sorted by k, `times` places each): is it a repeat?"""
+    new = np.ones(len(k), bool)
+    new[1:] = k[1:] != k[:-1]
+    group = np.cumsum(new) - 1
+    members = np.bincount(group)
+    first = np.concatenate([[0], np.cumsum(n)])
+    hit = np.repeat(times > 1, n)
+    open_ = (np.bincount(group, times == 1) > 0) & (members > 1)
+    pairs = np.flatnonzero(new)[open_ & (members == 2)]
+    flat = C.Flat(contexts)
+    for s in range(0, len(pairs), 2_000):
+        i = pairs[s : s + 2_000]
+        left, right = extensions(flat, i, i + 1, o, length)
+        for r in (i, i + 1):
+            a, b = np.maximum(o[r] - left, 0), np.minimum(o[r] - (length - right), n[r] - 1) + 1
+            some = a < b
+            hit[C.take_spans((first[r] + a)[some], (first[r] + b)[some])] = True
+    rest = np.flatnonzero((open_ & (members > 2))[group])
+    if len(rest):
+        hit[C.take_spans(first[rest], first[rest + 1])] |= repeated_starts(contexts.take(pa.array(rest)), length)
+    return hit
+
+
+def _sorted_groups(length: int, at_once: int = SORT_BYTES):
+    """Distinct contexts (k, h, times, n, o, context) sorted by k to runs [x, y) of repeated starts of each."""
+
+    def solved(table: pa.Table) -> pa.RecordBatch:
+        k, times, n, o = (np.asarray(table[c]).astype(np.int64) for c in ("k", "times", "n", "o"))
+        context = pa.concat_arrays(table["context"].chunks)
+        hit = settled(k, times, n, o, context, length)
+        row = np.repeat(np.arange(len(n)), n)
+        place = np.arange(len(row)) - np.repeat(np.cumsum(n) - n, n)
+        edge = np.ones(len(row) + 1, bool)
+        edge[1:-1] = (row[1:] != row[:-1]) | (hit[1:] != hit[:-1])
+        at = np.flatnonzero(edge)
+        keep = hit[at[:-1]]
+        x, y = at[:-1][keep], (at[1:] - 1)[keep]
+        of = pa.array(row[x])
+        columns = [pa.concat_arrays(table[c].chunks).take(of) for c in ("k", "h")]
+        return pa.RecordBatch.from_arrays([*columns, pa.array(place[x].astype(np.int32)), pa.array((place[y] + 1).astype(np.int32))], ["k", "h", "x", "y"])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: list[pa.RecordBatch] = []
-        size, group, last, over = 0, 0, None, False
-        again = lambda rows: rows.append_column("b", pa.nulls(rows.num_rows, pa.int64()))
+        size = 0
         for batch in C.in_blocks(batches, "context", at_once // 2):
-            batch = batch.select(["k", "h", "t", "a", "n", "context"])
-            k = np.asarray(batch.column("k"))
-            cut = np.concatenate([[0], np.flatnonzero(k[1:] != k[:-1]) + 1, [len(k)]])
-            for x, y in zip(cut[:-1].tolist(), cut[1:].tolist(), strict=True):
-                part = batch.slice(x, y - x)
-                if k[x] != last:
-                    if held and size >= at_once:
-                        yield from _solved(held, length)
-                        held, size = [], 0
-                    last, group, over = k[x], 0, False
-                if over:
-                    yield again(part)
-                    continue
-                held.append(part)
-                size, group = size + _size(part), group + _size(part)
-                if group > most:
-                    over, rest = True, []
-                    for old in held:
-                        mine = np.asarray(old.column("k")) == last
-                        if mine.any():
-                            yield again(old.filter(pa.array(mine)))
-                        if not mine.all():
-                            rest.append(old.filter(pa.array(~mine)))
-                    held, size = rest, sum(map(_size, rest))
+            held.append(batch)
+            size += int(pc.sum(pc.binary_length(batch.column("context"))).as_py() or 0)
+            if size >= at_once:  # the last group may go on
+                table = pa.Table.from_batches(held)
+                k = np.asarray(table["k"])
+                cut = np.flatnonzero(k[1:] != k[:-1]) + 1
+                if len(cut):
+                    yield solved(table.slice(0, int(cut[-1])))
+                    held = table.slice(int(cut[-1])).to_batches()
+                    size = sum(int(pc.sum(pc.binary_length(b.column("context"))).as_py() or 0) for b in held)
         if held:
-            yield from _solved(held, length)
+            yield solved(pa.Table.from_batches(held))
 
     return run
 
 
-def _by_string(length: int):
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for t, a, context in zip(*(batch.column(c).to_pylist() for c in ("t", "a", "context")), strict=True):
-                n = len(context) - length + 1
-                digest = [xxhash.xxh3_128_digest(context[i : i + length]) for i in range(n)]
-                yield pa.RecordBatch.from_arrays([pa.array(digest, pa.binary()), pa.array([t] * n, pa.int64()), pa.array(range(a, a + n), pa.int64())], ["s", "t", "a"])
-
-    return run
+def _digest(text: Column) -> Column:
+    """The first 128 bits of a text's SHA-256."""
+    return F.substring(F.unhex(F.sha2(F.encode(text, "UTF-8"), 256)), 1, 16)
 
 
 def _keyed(documents: DataFrame) -> DataFrame:
     text = F.coalesce(F.col("text"), F.lit(""))
-    return documents.withColumn("t", F.xxhash64(text)).withColumn("text", text)
+    return documents.withColumn("t", _digest(text)).withColumn("text", text)
 
 
-def repeats(documents: DataFrame, length: int = LENGTH, group_bytes: int = GROUP_BYTES) -> tuple[DataFrame, DataFrame]:
-    """(rows, spans). rows (doc_id, t, n_bytes, sha, copies): every document; spans (t, spans, text): of texts with repeats, the runs of removed bytes."""
-    keyed = _keyed(documents.select("doc_id", "text"))
-    rows = C.stored(keyed.select("doc_id", "t", F.octet_length("text").cast("bigint").alias("n_bytes"), F.sha2(F.encode("text", "UTF-8"), 256).alias("sha")))
+def _repeated(contexts: DataFrame, length: int) -> DataFrame:
+    """Runs (t, a, b) of repeated starts, of rows of contexts."""
+    distinct = contexts.groupBy("k", "h").agg(F.count("*").alias("times"), F.first("n").alias("n"), F.first("o").alias("o"), F.first("context").alias("context"))
+    runs = distinct.repartition("k").sortWithinPartitions("k").mapInArrow(_sorted_groups(length), _RUNS)
+    return contexts.select("k", "h", "t", "a").join(runs, ["k", "h"]).select("t", (F.col("a") + F.col("x")).alias("a"), (F.col("a") + F.col("y")).alias("b"))
+
+
+def repeats(documents: DataFrame, length: int = LENGTH, hot: int = HOT) -> tuple[DataFrame, DataFrame]:
+    """(rows, spans). rows (doc_id, t, n_bytes, sha, copies): every document; spans (t, runs, text): of texts with repeats, the runs of repeated starts."""
+    text = F.coalesce(F.col("text"), F.lit(""))
+    rows = C.stored(documents.select("doc_id", F.octet_length(text).cast("bigint").alias("n_bytes"), F.sha2(F.encode(text, "UTF-8"), 256).alias("sha")))
+    rows = rows.withColumn("t", F.substring(F.unhex("sha"), 1, 16))
     texts = rows.groupBy("t").agg(F.count("*").alias("copies"), F.min(F.coalesce("doc_id", F.lit(-(2**63)))).alias("first"))
-    blocks = C.stored(keyed.where(F.octet_length("text") >= length).select("t", "text").mapInArrow(_blocks(length), _BLOCKS))
+    keyed = _keyed(documents.select("doc_id", "text").where(F.octet_length("text") >= length))
+    blocks = C.stored(keyed.select("t", "text").mapInArrow(_blocks(length), _BLOCKS))
     start = F.xxhash64("t", "a")
-    shared = blocks.groupBy("k").agg(F.min(start).alias("x"), F.max(start).alias("y")).where("x != y").select("k")
-    wanted = blocks.join(shared, "k", "left_semi").distinct().groupBy("t").agg(F.collect_list(F.struct("a", "n", "k")).alias("blocks"))
+    shared = blocks.groupBy("k").agg(F.min(start).alias("x"), F.max(start).alias("y"), F.count("*").alias("c")).where("x != y").select("k", (F.col("c") > hot).alias("hot"))
+    shared = C.stored(shared)  # a table of its own, so that the join can split a hot anchor text
+    wanted = blocks.join(shared, "k").groupBy("t").agg(F.collect_set(F.struct("a", "n", "o", "k", "hot")).alias("blocks"))
     wanted = C.stored(wanted.join(texts, "t").select("t", "first", "blocks"))
     C.removed(documents.sparkSession, blocks)
-    one = keyed.where(F.octet_length("text") >= length).select("t", F.coalesce("doc_id", F.lit(-(2**63))).alias("first"), "text")
+    one = keyed.select("t", F.coalesce("doc_id", F.lit(-(2**63))).alias("first"), "text")
     chosen = C.stored(one.join(wanted, ["t", "first"]).select("t", "text", "blocks"))
-    contexts = chosen.mapInArrow(_contexts(length), _CONTEXTS)
-    found = C.stored(contexts.repartition("k").sortWithinPartitions("k").mapInArrow(_sorted_groups(length, SORT_BYTES, group_bytes), _FOUND))
-    runs = found.where("b is not null").select("t", "a", "b")
-    again = found.where("b is null")
-    if not again.isEmpty():
-        whole = again.where("context is not null").groupBy("k", "h").agg(F.first("context").alias("context"))
-        single = C.stored(again.select("k", "h", "t", "a").join(whole, ["k", "h"]).select("t", "a", "context").mapInArrow(_by_string(length), "s binary, t bigint, a bigint"))
-        twice = single.groupBy("s").agg(F.min(start).alias("x"), F.max(start).alias("y"), F.count("*").alias("c")).where("x != y or c > 1").select("s")
-        runs = runs.unionAll(single.join(twice, "s", "left_semi").select("t", "a", (F.col("a") + 1).alias("b")))
+    contexts = C.stored(chosen.mapInArrow(_contexts(length), _CONTEXTS))
+    found = [_repeated(contexts.where("not hot"), length)]
+    crowded = contexts.where("hot")
+    for width in (0, *CELLS):
+        if crowded.isEmpty():
+            break
+        cells = C.stored(crowded.mapInArrow(_cells(length, width), _CONTEXTS)) if width else crowded
+        if width == 1:  # a group is one string now, however often it occurs
+            cells = cells.withColumn("hot", F.lit(False))
+        else:  # many contexts make a group crowded, many places of one context don't
+            distinct = cells.groupBy("k", "h").agg(F.count("*").alias("times"))
+            many = distinct.groupBy("k").agg(F.count("*").alias("c"), F.max("times").alias("times")).where("c > 1 or times > 1").select("k", (F.col("c") > hot).alias("hot"))
+            cells = C.stored(cells.drop("hot").join(C.stored(many), "k"))
+        found.append(_repeated(cells.where("not hot"), length))
+        crowded = cells.where("hot")
+    runs = found[0]
+    for more in found[1:]:
+        runs = runs.unionAll(more)
     starts = runs.groupBy("t").agg(F.collect_list(F.struct("a", "b")).alias("runs"))
     spans = starts.join(chosen.select("t", "text").distinct(), "t")
     return rows.join(texts.select("t", "copies"), "t"), spans
@@ -299,18 +378,22 @@ def _kept_bytes(text: bytes, spans: list[tuple[int, int]]) -> bytes:
     return b"".join([*out, text[at:]])
 
 
-_CUT = "t bigint, n_removed bigint, n_spans bigint, kept_sha256 string, kept binary"
+_CUT = "t binary, n_removed bigint, n_spans bigint, kept_sha256 string, kept string"
+_WORDS = re.compile(rb"[^\x20\x09-\x0D]+")
 
 
-def _cut(length: int, with_text: bool):
+def _cut(length: int, words: int, with_text: bool):
+    """What stays of a text without its spans of at least `words` words."""
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for block in C.in_blocks(batches):
             out = []
             for text, runs in zip(block.column("text").cast(pa.binary()).to_pylist(), block.column("runs").to_pylist(), strict=True):
-                spans = merged(runs, length)
+                spans = [(a, b) for a, b in merged(runs, length) if not words or len(_WORDS.findall(text[a:b])) >= words]
                 kept = _kept_bytes(text, spans)
-                out.append((sum(b - a for a, b in spans), len(spans), hashlib.sha256(kept).hexdigest(), kept if with_text else None))
-            yield pa.RecordBatch.from_arrays([block.column("t"), *(pa.array([o[i] for o in out], kind) for i, kind in enumerate((pa.int64(), pa.int64(), pa.string(), pa.binary())))], ["t", "n_removed", "n_spans", "kept_sha256", "kept"])
+                out.append((sum(b - a for a, b in spans), len(spans), hashlib.sha256(kept).hexdigest(), kept.decode("utf-8", "ignore") if with_text and spans else None))
+            kinds = (pa.int64(), pa.int64(), pa.string(), pa.string())
+            yield pa.RecordBatch.from_arrays([block.column("t"), *(pa.array([o[i] for o in out], kind) for i, kind in enumerate(kinds))], [c.split()[0] for c in _CUT.split(", ")])
 
     return run
 
@@ -318,29 +401,40 @@ def _cut(length: int, with_text: bool):
 _EMPTY = hashlib.sha256(b"").hexdigest()
 
 
-def _results(documents: DataFrame, length: int, group_bytes: int, with_text: bool) -> tuple[DataFrame, Column]:
-    rows, spans = repeats(documents, length, group_bytes)
-    cut = spans.mapInArrow(_cut(length, with_text), _CUT)
-    copied = (F.col("copies") > 1) & (F.col("n_bytes") >= length)
-    return rows.join(C.stored(cut), "t", "left"), copied
-
-
-def score(documents: DataFrame, length: int = LENGTH, group_bytes: int = GROUP_BYTES) -> DataFrame:
+def score(documents: DataFrame, length: int = LENGTH, hot: int = HOT) -> DataFrame:
     """(doc_id, n_bytes, n_removed, n_spans, kept_sha256) of every document."""
-    all_, copied = _results(documents, length, group_bytes, False)
+    rows, spans = repeats(documents, length, hot)
+    all_ = rows.join(C.stored(spans.mapInArrow(_cut(length, 0, False), _CUT)), "t", "left")
+    copied = (F.col("copies") > 1) & (F.col("n_bytes") >= length)
     pick = lambda whole, name, otherwise: F.when(copied, whole).otherwise(F.coalesce(F.col(name), otherwise)).alias(name)
     return all_.select("doc_id", "n_bytes", pick(F.col("n_bytes"), "n_removed", F.lit(0)), pick(F.lit(1), "n_spans", F.lit(0)).cast("bigint").alias("n_spans"), pick(F.lit(_EMPTY), "kept_sha256", F.col("sha")))
 
 
-def keep(documents: DataFrame, length: int = LENGTH, group_bytes: int = GROUP_BYTES) -> DataFrame:
-    """The documents without their repeated strings, with all their columns; n_chars, where there, follows. A character that is cut in part goes, and so does a document of which no word stays."""
-    all_, copied = _results(documents, length, group_bytes, True)
-    cut = F.when(copied, F.lit(b"")).otherwise(F.col("kept"))
-    changed = C.stored(all_.where(copied | F.col("kept").isNotNull()).select(F.col("t").alias("__t"), cut.alias("__cut")).groupBy("__t").agg(F.first("__cut").alias("__cut")))
-    rest = F.replace(F.make_valid_utf8(F.col("__cut").cast("string")), F.lit("\uFFFD"), F.lit(""))
-    same = F.col("__cut").isNull()
-    joined = documents.withColumn("__t", F.xxhash64(F.coalesce("text", F.lit("")))).join(changed, "__t", "left")
-    out = joined.withColumn("text", F.when(same, F.col("text")).otherwise(rest)).where(same | F.col("text").rlike(r"[^\x20\x09-\x0D]"))
+_WORD = r"[^\x20\x09-\x0D]+"
+#: keep(): strings of so many bytes are looked for, and a run of them goes if it has so many words.
+PASSAGE, PASSAGE_WORDS = 240, 50
+
+
+def keep(documents: DataFrame, length: int = PASSAGE, words: int = PASSAGE_WORDS, hot: int = HOT) -> DataFrame:
+    """The documents without their repeated passages, with all their columns; n_chars, where there, follows.
+
+    A passage is a run of bytes covered by repeated strings of `length` bytes, of at least `words` words. Fifty words
+    take some 330 bytes in English, so shorter strings are looked for and the words of a run are counted. A character
+    that is cut in part goes, and so does a document of which no word stays. Null and empty texts stay as they are.
+    """
+    rows, spans = repeats(documents, length, hot)
+    cut = spans.mapInArrow(_cut(length, words, True), _CUT).where("n_spans > 0").select("t", F.col("kept").alias("cut"))
+    copies = rows.where((F.col("copies") > 1) & (F.col("n_bytes") >= length)).select("t").distinct()
+    copied = copies.select("t", F.lit(None).cast("string").alias("cut"), F.lit(True).alias("copied"))
+    changed = C.stored(cut.withColumn("copied", F.lit(False)).unionAll(copied).groupBy("t").agg(F.max("cut").alias("cut"), F.max("copied").alias("copied")))
+    held = documents.select(F.struct("*").alias("row"), _digest(F.coalesce("text", F.lit(""))).alias("t")).join(changed, "t", "left")
+    text = F.col("row.text")
+    whole = F.coalesce(F.col("copied"), F.lit(False)) & (F.regexp_count(text, F.lit(_WORD)) >= words)
+    now = F.when(whole, F.lit("")).otherwise(F.coalesce(F.col("cut"), text))
+    same = ~whole & F.col("cut").isNull()
+    out = held.select("row", now.alias("now"), same.alias("same")).where(F.col("same") | F.col("now").rlike(_WORD))
+    row = F.col("row").withField("text", F.col("now"))
     if "n_chars" in documents.columns:
-        out = out.withColumn("n_chars", F.when(same, F.col("n_chars")).otherwise(F.char_length("text")).cast(documents.schema["n_chars"].dataType))
-    return out.select(documents.columns)
+        row = row.withField("n_chars", F.when(F.col("same"), F.col("row.n_chars")).otherwise(F.char_length("now")).cast(documents.schema["n_chars"].dataType))
+    return out.select(row.alias("row")).select("row.*")
+

@@ -47,7 +47,7 @@ def corpus(rng, length):
 
 def test_against_brute_force(spark):
     rng = random.Random(9)
-    for length, most in ((48, D.GROUP_BYTES), (48, 300), (70, D.GROUP_BYTES)):
+    for length, most in ((48, D.HOT), (48, 3), (70, 0)):
         texts = corpus(rng, length)
         docs = spark.createDataFrame([(i, t, i) for i, t in enumerate(texts)], "doc_id long, text string, k long").repartition(5)
         old, D.SORT_BYTES = D.SORT_BYTES, 2000
@@ -56,6 +56,36 @@ def test_against_brute_force(spark):
         assert [got[i] for i in range(len(texts))] == brute(texts, length)
 
 
+def test_words_of_a_passage(spark):
+    """Passages of 51 and more words go wherever they are, shorter ones stay; other columns stay, whatever their names."""
+    rng = random.Random(3)
+    word = lambda: "".join(rng.choices("abcdefghij", k=rng.randrange(3, 8)))
+    passages = [" ".join(word() for _ in range(n)) for n in (51, 55, 60, 90, 44, 30)]
+    rows = []
+    for i in range(60):
+        body = [word() for _ in range(rng.randrange(20, 200))]
+        rows.append((i, " ".join([*body[:15], passages[i % 6], *body[15:]]), "x", i))
+    rows += [(60, None, "y", 60), (61, "", "y", 61), (62, passages[0], "y", 62)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, t string, cut long")
+    got = {r.doc_id: r for r in D.keep(docs).collect()}
+    assert 62 not in got and got[60].text is None and got[61].text == "" and got[5].t == "x"
+    for i in range(60):
+        assert got[i].cut == i
+        assert (passages[i % 6] in got[i].text) == (i % 6 > 3), i
+        if i % 6 > 3:
+            assert got[i].text == rows[i][1]
+        else:
+            assert len(got[i].text.split()) >= len(rows[i][1].split()) - len(passages[i % 6].split()) - 1
+
+
+def test_a_very_long_text(spark):
+    rng = random.Random(8)
+    long = "".join(rng.choices("abcdefgh ", k=3_000_000))
+    docs = spark.createDataFrame([(1, long), (2, "q" + long[1_000_000:1_000_500] + "q"), (3, long[:399])], "doc_id long, text string")
+    got = {r.doc_id: (r.n_removed, r.n_spans) for r in D.score(docs).collect()}
+    assert got == {1: (500, 1), 2: (500, 1), 3: (0, 0)}
+
+
 def test_edges(spark):
     empty = spark.createDataFrame([], "doc_id long, text string")
     assert D.score(empty).count() == 0
