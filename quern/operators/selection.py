@@ -23,12 +23,13 @@ def select_regions(regions: DataFrame, token_counts: DataFrame, budget: int) ->
 
     regions (query_id, chunk_rank, region_id, score, start, end), members [start, end);
     token_counts (subchunk_id, tokens).  Only subchunks not taken before are charged; the first
-    region that would overflow ends the query, as does a full budget.
+    region that would overflow ends the query, as does a full budget. A subchunk without a count is an error.
     """
     ranked = ranked_regions(regions)
     members = ranked.select("query_id", "region_rank", "chunk_rank", "region_id", F.explode(F.sequence("start", F.col("end") - 1)).alias("subchunk_id"))
     novel = members.withColumn("first", F.min("region_rank").over(Window.partitionBy("query_id", "subchunk_id"))).where("region_rank = first").drop("first")
-    charged = novel.dropDuplicates(["query_id", "subchunk_id"]).join(token_counts.select("subchunk_id", "tokens"), "subchunk_id")
+    charged = novel.dropDuplicates(["query_id", "subchunk_id"]).join(token_counts.select("subchunk_id", "tokens"), "subchunk_id", "left")
+    charged = charged.where(F.assert_true(F.col("tokens").isNotNull(), F.lit("a subchunk has no token count")).isNull())
     by = Window.partitionBy("query_id").orderBy("region_rank")
     cost = charged.groupBy("query_id", "region_rank").agg(F.sum("tokens").alias("cost"))
     total = F.sum("cost").over(by.rowsBetween(*_UP_TO_HERE))

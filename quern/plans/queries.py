@@ -7,7 +7,7 @@ the vectors of an id that is divisible by 100 and of the next three.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from quern.functions import metrics as M
@@ -17,7 +17,9 @@ from quern.functions import vectors as V
 from quern.operators import catalogue, chunking, codec, evaluation, prompting, qa_datasets, regions, retrieval, selection, splitting
 from quern.streaming import stream
 
-CHUNK, BUDGET, REGION_BUDGET, CAP, K = 512, 1000, 180, 100, 5
+CHUNK, BUDGET, REGION_BUDGET, CAP, K = 512, 1000, 180, 100, 20
+#: Vectors of a chunk, which is searched by all of them and goes by the best.
+PER_CHUNK = 20
 
 QUERIES: dict = {}
 SQL: dict[str, str] = {}
@@ -112,7 +114,6 @@ def sentence_split(spark, sf_dir):
       OR (len(string_split_regex(text, '\\s+')) <= 3 AND (regexp_matches(text, '^(?:[A-Z]\\.\\s*){{1,3}}$') OR regexp_matches(text, '(?:{_EDGE}[A-Z]\\.|{_EDGE}[a-z]\\.)$')))) AS merges FROM w"""
 )
 def abbrev_merge_pairs(spark, sf_dir):
-    from pyspark.sql import Window
 
     rows = table(spark, sf_dir, "documents").select("doc_id", F.posexplode(splitting.sentences(F.col("text"))).alias("ordinal", "text"))
     following = F.lead("text").over(Window.partitionBy("doc_id").orderBy("ordinal"))
@@ -257,7 +258,7 @@ _VECTORS = """n AS (SELECT count(*) // 5 AS ns FROM embeddings),
  qt AS (SELECT vec_id - vec_id % 100 AS query_id, vec_id % 100 AS query_token, embedding::DOUBLE[] AS v FROM embeddings WHERE vec_id % 100 < 4),
  ch AS (SELECT c AS chunk_id, 4 * c AS s, least(4 * c + 8, ns) AS e FROM n, unnest(range(0, ns // 4)) t(c)),
  cos AS (SELECT query_id, vec_id AS id, round(list_inner_product(v, embedding::DOUBLE[]) / (sqrt(list_inner_product(v, v)) * sqrt(list_inner_product(embedding::DOUBLE[], embedding::DOUBLE[]))), 6) AS score FROM q, embeddings)"""
-_RETRIEVED = f"""top AS (SELECT query_id, chunk_id, s, e, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, chunk_id) AS chunk_rank FROM cos JOIN ch ON ch.chunk_id = cos.id QUALIFY chunk_rank <= {K}),
+_RETRIEVED = f"""top AS (SELECT query_id, chunk_id, s, e, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, chunk_id) AS chunk_rank FROM (SELECT query_id, id // {PER_CHUNK} AS chunk_id, max(score) AS score FROM cos GROUP BY ALL) JOIN ch USING (chunk_id) QUALIFY chunk_rank <= {K}),
  cand AS (SELECT DISTINCT query_id, unnest(range(s, e)) AS subchunk_id FROM top),
  mx AS (SELECT query_id, query_token, subchunk_id, max(round(list_inner_product(v, d), 6)) AS score FROM cand JOIN tok USING (subchunk_id) JOIN qt USING (query_id) GROUP BY ALL),
  cnt AS (SELECT doc_id AS subchunk_id, {_n("text")} + 1 AS tokens, text FROM documents)"""
@@ -282,13 +283,19 @@ class _Vectors:
         self.query_tokens = e.where("vec_id % 100 < 4").select((F.col("vec_id") - F.col("vec_id") % 100).alias("query_id"), (F.col("vec_id") % 100).alias("query_token"), "vector")
         self.tokens = e.select(F.floor(F.col("vec_id") / 5).alias("subchunk_id"), (F.col("vec_id") % 5).alias("position"), "vector")
         self.chunks = spark.range(n // 4).select(F.col("id").alias("chunk_id"), (F.col("id") * 4).alias("start"), F.least(F.col("id") * 4 + 8, F.lit(n)).alias("end"))
-        x = F.col("text")
-        self.units = table(spark, sf_dir, "documents").select(F.col("doc_id").alias("subchunk_id"), "text", (T.token_count(x) + 1).alias("tokens"))
+        self.texts = table(spark, sf_dir, "documents").select(F.col("doc_id").alias("subchunk_id"), "text")
 
     def retrieved(self) -> DataFrame:
-        on = self.all.join(self.chunks, F.col("id") == F.col("chunk_id"), "left_semi")
-        top = retrieval.top_k(self.queries, on, K).select("query_id", F.col("id").alias("chunk_id"), F.col("rank").alias("chunk_rank"))
-        return top.join(self.chunks, "chunk_id")
+        """The chunks of all vectors: the nearest K * PER_CHUNK vectors hold K chunks at least."""
+        near = retrieval.top_k(self.queries, self.all, K * PER_CHUNK).select("query_id", F.floor(F.col("id") / PER_CHUNK).alias("chunk_id"), "score")
+        best = near.groupBy("query_id", "chunk_id").agg(F.max("score").alias("score")).join(self.chunks, "chunk_id")
+        by = Window.partitionBy("query_id").orderBy(F.desc("score"), "chunk_id")
+        return best.withColumn("chunk_rank", F.row_number().over(by)).where(F.col("chunk_rank") <= K).drop("score")
+
+    def counted(self, retrieved: DataFrame) -> DataFrame:
+        """Texts and token counts of the retrieved subchunks; no other text is read into tokens."""
+        ids = retrieved.select(F.explode(F.sequence("start", F.col("end") - 1)).alias("subchunk_id")).distinct()
+        return self.texts.join(ids, "subchunk_id", "left_semi").select("subchunk_id", "text", (T.token_count(F.col("text")) + 1).alias("tokens"))
 
     def maxima(self, retrieved: DataFrame) -> DataFrame:
         cand = retrieved.select("query_id", F.explode(F.sequence("start", F.col("end") - 1)).alias("subchunk_id"))
@@ -302,7 +309,7 @@ class _Vectors:
 
     def selected(self) -> tuple[DataFrame, DataFrame]:
         top, reg = self.scored_regions()
-        return top, selection.select_regions(reg, self.units, BUDGET)
+        return top, selection.select_regions(reg, self.counted(top), BUDGET)
 
 
 @query(f"WITH {_VECTORS} SELECT query_id, id, score, rank::BIGINT AS rank FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, id) AS rank FROM cos) WHERE rank <= 20")
@@ -359,7 +366,7 @@ def select_region_budget(spark, sf_dir):
 @query(f"WITH {_VECTORS}, {_RETRIEVED}, {_REGIONS}, {_RUNS} SELECT query_id, chunk_rank::BIGINT AS chunk_rank, region_id, first, last, passage FROM pas")
 def region_passages(spark, sf_dir):
     v = _Vectors(spark, sf_dir)
-    return selection.passages(v.selected()[1], v.units).withColumn("chunk_rank", F.col("chunk_rank").cast("bigint"))
+    return selection.passages(v.selected()[1], v.texts).withColumn("chunk_rank", F.col("chunk_rank").cast("bigint"))
 
 
 @query(
@@ -369,7 +376,7 @@ def region_passages(spark, sf_dir):
 def reassembled_chunks(spark, sf_dir):
     v = _Vectors(spark, sf_dir)
     top, s = v.selected()
-    rows = selection.reassembled(top, selection.passages(s, v.units))
+    rows = selection.reassembled(top, selection.passages(s, v.texts))
     return rows.select("query_id", F.col("chunk_rank").cast("bigint").alias("chunk_rank"), "chunk_id", F.array_join("passages", "\n").alias("context"))
 
 
@@ -383,7 +390,7 @@ def select_subchunk_budget(spark, sf_dir):
     v = _Vectors(spark, sf_dir)
     top = v.retrieved()
     members = top.select("query_id", "chunk_rank", F.explode(F.sequence("start", F.col("end") - 1)).alias("subchunk_id"))
-    c = members.join(retrieval.direct_maxsim(v.maxima(top)), ["query_id", "subchunk_id"]).join(v.units.select("subchunk_id", "tokens"), "subchunk_id")
+    c = members.join(retrieval.direct_maxsim(v.maxima(top)), ["query_id", "subchunk_id"]).join(v.counted(top).select("subchunk_id", "tokens"), "subchunk_id")
     rows = selection.select_subchunks(c, BUDGET)
     return rows.select("query_id", F.col("chunk_rank").cast("bigint").alias("chunk_rank"), "subchunk_id", "score", "tokens", F.col("rank").cast("bigint").alias("rank"))
 
@@ -391,7 +398,7 @@ def select_subchunk_budget(spark, sf_dir):
 @query(f"WITH {_VECTORS}, {_RETRIEVED} SELECT query_id, chunk_rank::BIGINT AS chunk_rank, subchunk_id, text AS passage FROM (SELECT query_id, chunk_rank, unnest(range(s, e)) AS subchunk_id FROM top) JOIN cnt USING (subchunk_id)")
 def no_compression_passages(spark, sf_dir):
     v = _Vectors(spark, sf_dir)
-    return selection.all_passages(v.retrieved(), v.units).withColumn("chunk_rank", F.col("chunk_rank").cast("bigint"))
+    return selection.all_passages(v.retrieved(), v.texts).withColumn("chunk_rank", F.col("chunk_rank").cast("bigint"))
 
 
 # --- codec ---
