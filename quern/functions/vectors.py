@@ -18,7 +18,9 @@ def norm(a: Column) -> Column:
 
 
 def normalized(a: Column) -> Column:
-    return F.transform(a, lambda x: x.cast("double") / F.greatest(norm(a), F.lit(EPSILON)))
+    """The length is bound once a vector, not computed once an element."""
+    length = F.array(F.greatest(norm(a), F.lit(EPSILON)))
+    return F.get(F.transform(length, lambda n: F.transform(a, lambda x: x.cast("double") / n)), F.lit(0))
 
 
 def similarity(a: Column, b: Column, metric: str = "cosine") -> Column:

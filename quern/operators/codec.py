@@ -13,6 +13,8 @@ from quern.functions.vectors import EPSILON, dot, norm, normalized, packed, quan
 
 #: Centroids that may be broadcast: a codec has at most 16 sqrt(n).
 MOST_CENTROIDS = 1 << 16
+#: Vectors that train one centre, and the most held out for the quartiles.
+PER_CENTROID, HELD_OUT = 100, 50_000
 
 
 def trained_centroids(vectors: DataFrame, k: int, iterations: int = 4, seed: int = 123) -> DataFrame:
@@ -27,6 +29,21 @@ def trained_centroids(vectors: DataFrame, k: int, iterations: int = 4, seed: int
     return vectors.sparkSession.createDataFrame(rows, "centroid bigint, vector array<double>").withColumn("vector", normalized(F.col("vector")))
 
 
+def split_sample(vectors: DataFrame, k: int, per: int = PER_CENTROID, held_out: int = HELD_OUT) -> tuple[DataFrame, DataFrame]:
+    """(training, held out) of vectors (id, vector), by a hash of the id: a twentieth is held out, and neither part exceeds its bound."""
+    aside = F.pmod(F.xxhash64("id"), F.lit(20)) == 0
+    least = lambda rows, n: rows.orderBy(F.xxhash64("id"), "id").limit(n)
+    return least(vectors.where(~aside), k * per), least(vectors.where(aside), held_out)
+
+
+def built(vectors: DataFrame, k: int, per: int = PER_CENTROID, held_out: int = HELD_OUT) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """(codes, centroids, buckets): centres of a training sample, quartiles of the residuals of vectors held out from it, and all vectors encoded."""
+    training, aside = split_sample(vectors, k, per, held_out)
+    centroids = trained_centroids(training, k)
+    buckets = bucket_values(residuals(assigned(aside, centroids)))
+    return encoded(assigned(vectors, centroids), buckets), centroids, buckets
+
+
 def assigned(vectors: DataFrame, centroids: DataFrame, digits: int = 6) -> DataFrame:
     """vectors (id, vector) with centroid and c: the centre of largest inner product, the smaller number among equals.
 
@@ -56,8 +73,8 @@ def residuals(rows: DataFrame) -> DataFrame:
 
 
 def bucket_values(rows: DataFrame) -> DataFrame:
-    """One row (cutoffs, weights): quartiles of all residual values, and the middles of the quarters."""
-    x = rows.select(F.explode("residual").alias("x"))
+    """One row (cutoffs, weights): quartiles of the residual values, and the middles of the quarters. Exact for what it is given: HELD_OUT vectors at most, those of the least hashes."""
+    x = rows.orderBy(F.xxhash64("id"), "id").limit(HELD_OUT).select(F.explode("residual").alias("x"))
     return x.agg(F.percentile("x", F.array(*map(F.lit, (0.25, 0.5, 0.75)))).alias("cutoffs"), F.percentile("x", F.array(*map(F.lit, (0.125, 0.375, 0.625, 0.875)))).alias("weights"))
 
 

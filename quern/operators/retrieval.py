@@ -20,11 +20,25 @@ def _matrix(column: pa.Array) -> np.ndarray:
     return flat.reshape(len(column), -1) if len(column) else np.zeros((0, 0))
 
 
+def _best(scores: np.ndarray, ids: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
+    """The k best of each row, ties to the smaller id; a partition finds the k-th score, and only those that reach it are sorted."""
+    n = scores.shape[1]
+    if n <= k:
+        return scores, ids
+    least = np.partition(scores, n - k, axis=1)[:, n - k]
+    out_s, out_id = np.empty((len(scores), k)), np.empty((len(scores), k), np.int64)
+    for r, (s, i) in enumerate(zip(scores, ids, strict=True)):
+        some = np.flatnonzero(s >= least[r])
+        some = some[np.lexsort((i[some], -s[some]))[:k]]
+        out_s[r], out_id[r] = s[some], i[some]
+    return out_s, out_id
+
+
 def top_k(queries: DataFrame, corpus: DataFrame, k: int, metric: str = "cosine", digits: int = 6, block: int = QUERY_BLOCK) -> DataFrame:
     """(query_id, id, score, rank): for each of queries (query_id, vector) the k nearest rows of corpus (id, vector), exact.
 
-    Queries go out in blocks of bounded size; every batch of the corpus keeps its own best k of
-    each query, so only k rows a query and batch are shuffled.  Ties go to the smaller id.
+    Queries go out in blocks of bounded size; every task keeps the best k of each query so far,
+    so only k rows a query and task are shuffled.  Ties go to the smaller id.
     """
     if k < 0:
         raise ValueError("k must not be negative")
@@ -38,6 +52,7 @@ def top_k(queries: DataFrame, corpus: DataFrame, k: int, metric: str = "cosine",
 
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             ids, q = shared.value
+            best_s, best_id = np.zeros((len(ids), 0)), np.zeros((len(ids), 0), np.int64)  # so far in this task
             for batch in batches:
                 if not batch.num_rows:
                     continue
@@ -48,10 +63,8 @@ def top_k(queries: DataFrame, corpus: DataFrame, k: int, metric: str = "cosine",
                     s /= np.maximum(np.linalg.norm(q, axis=1)[:, None] * np.linalg.norm(x, axis=1)[None], EPSILON)
                 elif metric == "l2":
                     s = 2 * s - (q**2).sum(1)[:, None] - (x**2).sum(1)[None]
-                s = np.round(s, digits) + 0.0
-                n = min(k, len(own))
-                order = np.stack([np.lexsort((own, -row))[:n] for row in s]) if n else np.zeros((len(ids), 0), np.int64)
-                yield pa.RecordBatch.from_arrays([pa.array(np.repeat(ids, n)), pa.array(own[order].ravel()), pa.array(np.take_along_axis(s, order, 1).ravel())], ["query_id", "id", "score"])
+                best_s, best_id = _best(np.concatenate([best_s, np.round(s, digits) + 0.0], 1), np.concatenate([best_id, np.broadcast_to(own, s.shape)], 1), k)
+            yield pa.RecordBatch.from_arrays([pa.array(np.repeat(ids, best_s.shape[1])), pa.array(best_id.ravel()), pa.array(best_s.ravel())], ["query_id", "id", "score"])
 
         return corpus.select("id", "vector").mapInArrow(run, schema)
 

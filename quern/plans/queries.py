@@ -762,10 +762,8 @@ def type_histogram(spark, sf_dir):
 def trained_codec(spark, sf_dir):
     """k-means centres, assignment, quantisation and decoding with trained values; centres differ between libraries."""
     e = table(spark, sf_dir, "embeddings").select(F.col("vec_id").alias("id"), F.col("embedding").alias("vector"))
-    cen = codec.trained_centroids(e, 32)
-    rows = codec.assigned(e, cen)
-    b = codec.bucket_values(codec.residuals(rows))
-    d = codec.decoded(codec.encoded(rows, b), cen, b).join(e.select("id", F.col("vector").alias("v")), "id")
+    codes, cen, b = codec.built(e, int(e.count() ** 0.5))
+    d = codec.decoded(codes, cen, b).join(e.select("id", F.col("vector").alias("v")), "id")
     return d.select("id", F.round(V.similarity(F.col("vector"), F.col("v")), 4).alias("fidelity"))
 
 
