@@ -7,7 +7,9 @@ scores are sums over its words, and the answer is the language with the largest.
 
 Defined results: a null text, or one without a letter, is `und` with score 0; so is every
 text where no language was learned.  A text with letters of which nothing is known gets
-the most frequent language.  Ties go to the first language in alphabetical order.
+the most frequent language.  Ties go to the first language in alphabetical order.  Repeated rows
+are read and answered one by one, very long texts whole; an empty table gives an empty one.
+Other columns of the input are not read.
 """
 
 from __future__ import annotations
@@ -18,13 +20,13 @@ from dataclasses import dataclass, field
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from quern.llm import common as C
 
-#: Bounds of the model: documents read, words kept, n-grams kept.
-TRAIN_ROWS, WORDS, GRAMS, LONGEST = 12_000, 60_000, 150_000, 5
+#: Bounds of the model, for each language: documents read, words kept, n-grams kept.
+TRAIN_ROWS, WORDS, GRAMS, LONGEST = 4_000, 20_000, 40_000, 5
 UND = "und"
 
 
@@ -130,7 +132,7 @@ def _table(counts: dict[str, np.ndarray], smoothing: float) -> tuple[dict[str, i
 
 
 def build(counts: list[tuple[str, str, int]], documents: dict[str, int]) -> Model:
-    """counts: (language, word, times); documents: sampled documents of each language."""
+    """counts: (language, word, times); documents: training documents of each language."""
     languages = sorted(documents)
     place = {lang: k for k, lang in enumerate(languages)}
     words: dict[str, np.ndarray] = defaultdict(lambda: np.zeros(len(languages)))
@@ -143,7 +145,8 @@ def build(counts: list[tuple[str, str, int]], documents: dict[str, int]) -> Mode
             for g in grams(word, k):
                 pieces[g] += n
                 by_length[k] += 1
-    kept = sorted(pieces, key=lambda g: (-pieces[g].sum(), g))[:GRAMS]
+    # each language keeps its own most frequent ones, with their counts in all languages
+    kept = sorted({g for k in range(len(languages)) for g in sorted((g for g in pieces if pieces[g][k]), key=lambda g: (-pieces[g][k], g))[:GRAMS]})
     # frequencies of n-grams are taken among those of one length
     names: dict[str, int] = {}
     scores = []
@@ -172,22 +175,25 @@ def _count_words(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def fit(documents: DataFrame, keep: Column | None = None, limit: int = TRAIN_ROWS, words: int = WORDS) -> Model:
-    """Counts the words of at most `limit` documents with a language; the most frequent (language, word) pairs make the model."""
+    """Counts the words of at most `limit` documents of each language. A language keeps its `words` most frequent ones, and every word kept has its true count in each language; the prior counts all documents."""
     rows = documents.where(F.col("lang").isNotNull() & F.col("text").isNotNull() & F.col("doc_id").isNotNull())
     if keep is not None:
         rows = rows.where(keep)
-    ids = rows.select("doc_id").orderBy(F.xxhash64("doc_id"), "doc_id").limit(limit).distinct()
-    sample = rows.select("doc_id", "lang", "text").join(F.broadcast(ids), "doc_id")
-    counts = sample.mapInArrow(_count_words, "lang string, word string, n bigint").groupBy("lang", "word").agg(F.sum("n").alias("n")).orderBy(F.desc("n"), "lang", "word").limit(words)
-    numbers = {r.lang: r["count"] for r in rows.select("doc_id", "lang").join(F.broadcast(ids), "doc_id").groupBy("lang").count().orderBy(F.desc("count"), "lang").limit(1000).collect()}
-    return build([(r.lang, r.word, r.n) for r in counts.collect() if r.lang in numbers], numbers)
+    chosen = F.row_number().over(Window.partitionBy("lang").orderBy(F.xxhash64("doc_id"), "doc_id"))  # tasks pass on `limit` ids of a language at most
+    ids = rows.select("lang", "doc_id").withColumn("n", chosen).where(F.col("n") <= limit).select("doc_id").distinct()
+    sample = rows.select("doc_id", "lang", "text").join(ids, "doc_id", "left_semi")
+    counts = C.stored(sample.mapInArrow(_count_words, "lang string, word string, n bigint").groupBy("lang", "word").agg(F.sum("n").alias("n")))
+    place = F.row_number().over(Window.partitionBy("lang").orderBy(F.desc("n"), "word"))
+    known = counts.withColumn("place", place).where(F.col("place") <= words).select("word").distinct()
+    numbers = {r.lang: r["count"] for r in rows.groupBy("lang").count().collect()}
+    return build([(r.lang, r.word, r.n) for r in counts.join(known, "word", "left_semi").collect()], numbers)
 
 
 RESULT = "doc_id bigint, held_out boolean, lang_pred string, score double"
 
 
 def predict(documents: DataFrame, model: Model, held_out: Column) -> DataFrame:
-    """Language and posterior of every document. The broadcast model is bounded by WORDS and GRAMS."""
+    """Language and posterior of every document. The broadcast model is bounded by WORDS and GRAMS for each language."""
     shared = documents.sparkSession.sparkContext.broadcast(model)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

@@ -98,3 +98,64 @@ def test_kernel_matches_its_definition():
         for j, b in enumerate(map(phi, words)):
             want = sum(v * b.get(c, 0) for c, v in a.items()) / (sum(v * v for v in a.values()) * sum(v * v for v in b.values())) ** 0.5
             assert abs(k[i, j] - want) < 1e-5
+
+
+def plain_language(counts, documents, text):
+    """The model said plainly, a word and a language at a time."""
+    languages = sorted(documents)
+    words, pieces = {}, {}
+    for lang, word, n in counts:
+        words.setdefault(word, {}).setdefault(lang, 0)
+        words[word][lang] += n
+    for word, of in words.items():
+        for k in range(1, language_id.LONGEST + 1):
+            for g in language_id.grams(word, k):
+                for lang, n in of.items():
+                    pieces.setdefault(k, {}).setdefault(g, {}).setdefault(lang, 0)
+                    pieces[k][g][lang] += n
+
+    def table(of, smoothing):
+        total = {x: sum(c.get(x, 0) for c in of.values()) + smoothing * len(of) for x in languages}
+        p = {key: {x: np.log((c.get(x, 0) + smoothing) / total[x]) for x in languages} for key, c in of.items()}
+        return {key: {x: v - max(c.values()) for x, v in c.items()} for key, c in p.items()}
+
+    known, by_length = table(words, 0.2), {k: table(of, 0.5) for k, of in pieces.items()}
+    score = {x: np.log(documents[x] / sum(documents.values())) for x in languages}
+    letters = False
+    for raw in (text or "").encode().split():
+        w = language_id.normalised(raw)
+        letters |= bool(w)
+        if w in known:
+            for x in languages:
+                score[x] += known[w][x]
+        elif w:
+            for k in range(min(language_id.LONGEST, len(w) + 2), 0, -1):
+                found = [g for g in language_id.grams(w, k) if g in by_length.get(k, {})]
+                if found:
+                    for x in languages:
+                        score[x] += sum(by_length[k][g][x] for g in found) / len(found)
+                    break
+    if not letters:
+        return language_id.UND
+    return max(languages, key=lambda x: (score[x], -languages.index(x)))
+
+
+def test_language_against_a_plain_version(spark):
+    """Rare languages beside a frequent one: every word kept has its count in all languages."""
+    rng = random.Random(21)
+    lists = {"aa": EN, "bb": DE, "cc": ["the", "haus", "piedra", "luz", "verde", "rio", "y", "el"]}
+    rows = [(i, sentence(rng, lists[x], 12), x) for i, x in enumerate(["aa"] * 90 + ["bb"] * 8 + ["cc"] * 4)]
+    texts = [sentence(rng, words, 6) for words in lists.values() for _ in range(15)] + ["rio verde", "qqq", "", None, "12 34", "the haus", "haus the " * 3000]
+    rows += [(1000 + i, t, None) for i, t in enumerate(texts)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string").repartition(3)
+    model = language_id.fit(docs)
+    counts = []
+    for _, text, lang in rows:
+        if lang:
+            counts += [(lang, w, 1) for raw in text.encode().split() if (w := language_id.normalised(raw))]
+    documents = {"aa": 90, "bb": 8, "cc": 4}
+    got = {r.doc_id: r.lang_pred for r in language_id.predict(docs, model, F.lit(False)).collect()}
+    for i, t in enumerate(texts):
+        assert got[1000 + i] == plain_language(counts, documents, t), t
+    few = language_id.fit(docs, limit=2, words=3)
+    assert few.languages == ["aa", "bb", "cc"] and len(few.words) <= 9 and np.exp(few.prior).round(3).tolist() == [0.882, 0.078, 0.039]
