@@ -81,6 +81,70 @@ def test_toxicity_tolerates_gaps_and_insertions(spark):
     assert (p[-2:] < 0.5).all()
 
 
+def plain_margin(model, text):
+    """The worst reading of a text, one reading and one subsequence at a time."""
+    import itertools
+    import re
+
+    def letters(raw):
+        return bytes(int(toxicity._CLASS[b]) for b in raw if toxicity._CLASS[b])
+
+    def value(word):
+        if len(word) < 3:
+            return -1.0
+        s = bytes([toxicity.START]) + word + bytes([toxicity.END])
+        w = toxicity.WINDOW
+        starts = sorted({*range(0, max(len(s) - w, 0), toxicity.STEP), max(len(s) - w, 0)})
+        best = -1.0
+        for part in (s[i : i + w] for i in starts):
+            phi = {}
+            for at in itertools.combinations(range(len(part)), 4):
+                key = 0
+                for i in at:
+                    key = key * toxicity.LETTERS + part[i]
+                phi[key] = phi.get(key, 0) + toxicity.DECAY ** (at[-1] - at[0] + 1)
+            up = sum(model.weight[k] * v for k, v in phi.items())
+            if up > 0:
+                best = max(best, up / sum(v * v for v in phi.values()) ** 0.5 + model.bias)
+        return best
+
+    raw = (text or "").encode()
+    found = [letters(w) for w in re.findall(rb"[^\x20\x09-\x0D]+", raw)]
+    pieces = [x for p in re.split(rb"[^A-Za-z013457@$\x80-\xFF]+", raw.replace(b" ", b"\n")) if (x := letters(p))]
+    found += pieces
+    for i, m in itertools.product(range(len(pieces)), range(2, toxicity.JOINED + 1)):
+        run = pieces[i : i + m]
+        if len(run) == m and all(len(x) <= toxicity.SHORT for x in run) and 4 <= len(b"".join(run)) <= toxicity.JOINED:
+            found.append(b"".join(run))
+    return np.tanh(max([-1.0, *(value(w) for w in found)]) / 2)
+
+
+def test_toxicity_against_a_plain_version(spark):
+    """Gaps by blanks and signs, glued words, ties, copies, nulls, long texts: every document's score is its worst reading's."""
+    rng = random.Random(5)
+    docs, labels = labelled(spark, rng, 300)
+    model = toxicity.fit(docs.withColumn("value", F.lit(1)).withColumn("sentence", F.lit("x")), labels)
+    gapped = ["mo ron", "m o r o n", "wr et ch", "wret ch", "house,moron/river", "the-w.r.e.t.c.h-walk", "mo\nron", "W R E T C H"]
+    clean = ["the and house", "to be or no", "a b c d", "der und fluss"]
+    odd = [None, "", " \t", "é", "ü b e r", "xy", "12 34 !!", "mo" * 40, "moronmoron" * 3, "ab " * 50, "moron moron moron"]
+    texts = gapped + clean + odd
+    got = model.margin(pa.array(texts))
+    assert np.allclose(got, [plain_margin(model, t) for t in texts], atol=1e-4)
+    p = S.probability(got, model.sigmoid)
+    assert (p[: len(gapped)] >= 0.5).all(), p
+    assert (p[len(gapped) : len(gapped) + len(clean)] < 0.5).all(), p
+    long = "stone walk " * 20_000
+    assert np.allclose(model.margin(pa.array([long, long + "mo ron"])), [plain_margin(model, "stone walk stone"), plain_margin(model, "walk mo ron")], atol=1e-4)
+    worst, piece = model.worst(pa.array(texts))
+    assert np.allclose(np.tanh(worst / 2), got) and all((x is None) == (v == -1) for x, v in zip(piece, worst, strict=True))
+
+
+def test_first_words_are_beyond_chance():
+    assert toxicity.chance(50_000, 120, 1000) == 5 and toxicity.chance(10, 5, 5) == 3 and toxicity.chance(0, 0, 0) == 3
+    of = {b"a": {1, 2, 3, 4}, b"b": {1, 2, 3, 4}, b"c": {7, 8}, b"d": {1, 2, 3, 5}}
+    assert toxicity.witnesses(of, {b"a": 0, b"b": 0, b"c": 0, b"d": 1}, 3) == [(b"b", 4), (b"a", 4)]
+
+
 def test_kernel_matches_its_definition():
     import itertools
 
