@@ -259,7 +259,7 @@ def score(documents: DataFrame, width: int = WIDTH, radius: int = RADIUS) -> Dat
 
 #: keep(): shingles of five words, similar at 0.8 or more.
 SIMILARITY = 0.8
-#: Candidates share a band, the least hashes of a shingle set under BAND functions. A pair of similarity 0.8 shares none of BANDS with a probability of (1 - 0.8 ** 6) ** 56 = 4e-8, wherever its texts differ.
+#: Candidates beyond the fingerprints' radius share a band, the least hashes of a shingle set under BAND functions. A pair of similarity 0.8 shares none of BANDS with a probability of (1 - 0.8 ** 6) ** 56 = 4e-8, wherever its texts differ.
 BANDS, BAND = 56, 6
 #: Shingles that a task compares at once.
 TILE = 1_000_000
@@ -308,12 +308,27 @@ def bands_of(sets: pa.Array, seed: int = SEED) -> tuple[np.ndarray, np.ndarray]:
     return name.view(np.int64), out.view(np.int64)
 
 
-def _banded(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+def _described(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for block in C.in_blocks(batches):
+        f = pa.array(fingerprints_of(block.column("text")).view(np.int64))
         sets = shingle_sets(block.column("text"))
         name, bands = bands_of(sets)
         lists = pa.ListArray.from_arrays(pa.array((np.arange(len(name) + 1) * BANDS).astype(np.int32)), pa.array(bands.ravel()))
-        yield pa.RecordBatch.from_arrays([block.column("__i"), block.column("__x"), pa.array(name), sets.value_lengths().cast(pa.int64()), lists], ["__i", "__x", "id", "n", "bands"])
+        yield pa.RecordBatch.from_arrays([block.column("__i"), block.column("__x"), pa.array(name), sets.value_lengths().cast(pa.int64()), f, lists], ["__i", "__x", "id", "n", "f", "bands"])
+
+
+def print_links(prints: DataFrame, radius: int = RADIUS) -> DataFrame:
+    """Links (a, b), enough to connect all ids of rows (id, f) whose fingerprints lie within the radius; the index holds each fingerprint once, as score()'s does."""
+    of = C.stored(prints.select("id", "f").distinct())
+    hubs = C.stored(of.groupBy("f").agg(F.min("id").alias("hub")))
+    same = of.join(hubs, "f").select(F.col("hub").alias("a"), F.col("id").alias("b"))
+    return same.unionAll(links(hubs.select(F.col("hub").alias("id"), "f"), ["f"], [radius])).where("a != b").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
+
+
+def band_links(distinct: DataFrame) -> DataFrame:
+    """Links (a, b), enough to connect all ids of rows (id, bands) that share a band."""
+    rows = distinct.select(F.explode("bands").alias("k"), "id").repartition("k").sortWithinPartitions("k")
+    return rows.mapInArrow(_starred, "a bigint, b bigint")
 
 
 def _starred(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -422,13 +437,16 @@ def verified(found: DataFrame, sizes: DataFrame, texts: DataFrame, least: float
 
 
 def keep(documents: DataFrame, least: float = SIMILARITY) -> DataFrame:
-    """One document (that of the least id) of every group of near-duplicates, with all its columns. Candidates share a band of least hashes; all of a component are held against each other by their shingle sets."""
+    """One document (that of the least id) of every group of near-duplicates, with all its columns.
+
+    Candidates are the fingerprints within RADIUS that score() links, and, for similar texts whose fingerprints lie further
+    apart, what shares a band of least hashes; all of a component are held against each other by their shingle sets.
+    """
     key = [F.coalesce("doc_id", F.lit(-(2**63))).alias("__i"), F.xxhash64(F.coalesce("text", F.lit(""))).alias("__x")]
     texts = documents.select(*key, F.col("text"))
-    prints = C.stored(texts.mapInArrow(_banded, "__i bigint, __x bigint, id bigint, n bigint, bands array<bigint>"))
+    prints = C.stored(texts.mapInArrow(_described, "__i bigint, __x bigint, id bigint, n bigint, f bigint, bands array<bigint>"))
     distinct = C.stored(prints.groupBy("id").agg(F.min(F.struct("__i", "__x")).alias("best"), F.any_value("n").alias("n"), F.any_value("bands").alias("bands")))
-    rows = distinct.where("n > 0").select(F.explode("bands").alias("k"), "id").repartition("k").sortWithinPartitions("k")
-    found = C.stored(rows.mapInArrow(_starred, "a bigint, b bigint").distinct())
+    found = C.stored(print_links(prints.where("n > 0")).unionAll(band_links(distinct.where("n > 0"))).distinct())
     ends = found.select(F.col("a").alias("id")).unionAll(found.select(F.col("b").alias("id"))).distinct()
     of = distinct.join(ends, "id", "left_semi").select("id", "best.__i", "best.__x").distinct()
     first = texts.join(of, ["__i", "__x"]).dropDuplicates(["id"]).select("id", "text")

@@ -171,3 +171,21 @@ def test_many_texts_of_one_fingerprint(spark):
     texts = [" ".join(["the"] * 7 + [f"w{rng.randrange(10**6)}" for _ in range(6)]) for _ in range(S.BUCKET + 500)]
     assert len(set(S.fingerprints_of(pa.array(texts), 1).tolist())) == 1
     assert kept_of(spark, [*texts, texts[7], texts[9] + " "]) == list(range(len(texts)))
+
+
+def test_near_copies_are_found_by_fingerprints(spark, monkeypatch):
+    """Without the bands, keep() finds the similar texts that fingerprints within the radius connect, and no others."""
+    rng = random.Random(35)
+    base = [[f"w{rng.randrange(4000)}" for _ in range(300)] for _ in range(8)]
+    texts = [edited(rng, b, k) for b in base for k in (0, 1, 2, 3, 12)] + [None, "", "a b", "A  b"]
+    prints = [int(f) for f in S.fingerprints_of(pa.array(texts))]
+    rows = spark.createDataFrame([(i, f - (1 << 64) if f >> 63 else f) for i, f in enumerate(prints)], "id long, f long")
+    want = components(prints, S.RADIUS)
+    roots = {r.node: r.root for r in S.components(S.print_links(rows)).collect()}
+    assert [roots.get(i, i) for i in range(len(texts))] == want and 20 < len(set(want)) < 40
+    monkeypatch.setattr(S, "band_links", lambda distinct: distinct.selectExpr("id as a", "id as b").limit(0))
+    kept = set(kept_of(spark, texts))
+    found = [i for i, r in enumerate(want) if r != i]
+    similar = jaccard_components(texts)
+    assert {i for i in found if similar[i] == similar[want[i]] and texts[i]} <= set(range(len(texts))) - kept
+    assert {0, 5, 10, 15, 20, 25, 30, 35} <= kept and 41 not in kept and 43 not in kept  # texts without words, equal words
