@@ -2,9 +2,12 @@
 
 from __future__ import annotations
 
+import numpy as np
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from quern.operators import blocks
+
 
 def validate_sizes(chunk: int | None, region: int, overhead: int = 0) -> None:
     if region <= overhead:
@@ -16,21 +19,23 @@ def validate_sizes(chunk: int | None, region: int, overhead: int = 0) -> None:
 def centred_windows(units: DataFrame, budget: int, overhead: int = 3) -> DataFrame:
     """(doc_id, center, first, last, truncated): each unit's window, grown left and right in turn within the budget.
 
-    units (doc_id, ordinal, token_start, token_end) with ordinals from 0 without gaps.  The
-    k-th unit of the growth has a place known in advance, so the loop is a running sum.  Only
-    units whose tokens begin within the budget of the centre's can be reached.
+    units (doc_id, ordinal, token_start, token_end) with ordinals from 0 without gaps; a row of
+    lengths a document takes their place.
     """
+    rows = units.groupBy("doc_id").agg(F.array_sort(F.collect_list(F.struct(F.col("ordinal").cast("bigint").alias("o"), (F.col("token_end") - F.col("token_start")).alias("n")))).alias("u"))
+    gap = F.assert_true(F.element_at("u", -1)["o"] == F.size("u") - 1, F.lit("the ordinals of a document must run from 0 without gaps"))
+    return windows_of_lengths(rows.where(gap.isNull()).select("doc_id", F.transform("u", lambda x: x["n"]).alias("lengths")), budget, overhead)
+
+
+def windows_of_lengths(lengths: DataFrame, budget: int, overhead: int = 3) -> DataFrame:
+    """The windows of rows (doc_id, lengths), the tokens of a document's units: without a shuffle, and a row for each unit and no more."""
     validate_sizes(None, budget, overhead)
-    doc = Window.partitionBy("doc_id")
-    rows = units.select("doc_id", F.col("ordinal").cast("bigint").alias("c"), "token_start", (F.col("token_end") - F.col("token_start")).alias("n"))
-    near = doc.orderBy("token_start").rangeBetween(-budget, budget)
-    rows = rows.withColumn("size", F.count("*").over(doc)).withColumn("near", F.collect_list(F.struct("c", "n")).over(near))
-    one = rows.select("doc_id", F.col("c").alias("center"), F.col("n").alias("own"), "size", F.explode("near").alias("x")).select("doc_id", "center", "own", "size", F.col("x.c").alias("j"), F.col("x.n").alias("n"))
-    d, m = F.abs(F.col("j") - F.col("center")), F.least("center", F.col("size") - 1 - F.col("center"))
-    place = F.when(d == 0, 0).when(d > m, m + d).when(F.col("j") < F.col("center"), 2 * d - 1).otherwise(2 * d)
-    total = F.sum("n").over(Window.partitionBy("doc_id", "center").orderBy("place").rowsBetween(Window.unboundedPreceding, 0))
-    kept = one.withColumn("place", place).withColumn("total", total).where((F.col("total") + overhead <= budget) | (F.col("place") == 0))
-    return kept.groupBy("doc_id", "center").agg(F.min("j").alias("first"), F.max("j").alias("last"), (F.max("own") + overhead >= budget).alias("truncated"))
+
+    def found(b: blocks.Block):
+        l, r = blocks.grown(b, budget, overhead)
+        return b.doc, {"center": b.ordinal, "first": b.ordinal[l], "last": b.ordinal[r], "truncated": b.n + overhead >= budget}
+
+    return blocks.mapped(lengths, found, "center bigint, first bigint, last bigint, truncated boolean")
 
 
 def fixed_window(start, end, length, budget: int, overhead: int = 3):
@@ -50,3 +55,27 @@ def pruned(windows: DataFrame, chunks: DataFrame) -> DataFrame:
     once = bound.groupBy("doc_id", "window", "start", "end").agg(F.min("center").alias("center"))
     reach = F.max("end").over(Window.partitionBy("doc_id", "window").orderBy("start", F.desc("end")).rowsBetween(Window.unboundedPreceding, -1))
     return once.withColumn("reach", reach).where("reach is null or reach < end").drop("reach")
+
+
+def pruned_of_lengths(lengths: DataFrame, budget: int, size: int, overhead: int = 3) -> DataFrame:
+    """What `pruned` has of the windows and the chunks of `size` tokens of rows (doc_id, lengths); a document's windows and chunks meet in its own row."""
+    validate_sizes(size, budget, overhead)
+
+    def found(b: blocks.Block):
+        l, r = blocks.grown(b, budget, overhead)
+        unit, window, chunk = blocks.members(b, size)
+        head = np.flatnonzero(np.diff(chunk, prepend=-1))
+        tail = np.append(head[1:], len(unit)) - 1
+        start, end = np.maximum(l[unit], unit[head][chunk]), np.minimum(r[unit], unit[tail][chunk]) + 1
+        by = np.lexsort((unit, -end, start, chunk))
+        unit, window, chunk, start, end = (x[by] for x in (unit, window, chunk, start, end))
+        once = np.ones(len(unit), bool)
+        once[1:] = (chunk[1:] != chunk[:-1]) | (start[1:] != start[:-1]) | (end[1:] != end[:-1])
+        unit, window, chunk, start, end = (x[once] for x in (unit, window, chunk, start, end))
+        far = chunk * (len(b.n) + 2) + end  # larger in a later chunk
+        kept = np.ones(len(unit), bool)
+        kept[1:] = np.maximum.accumulate(far)[:-1] < far[1:]
+        unit, window, start, end = (x[kept] for x in (unit, window, start, end))
+        return b.doc[unit], {"window": window, "start": b.ordinal[start], "end": b.ordinal[end - 1] + 1, "center": b.ordinal[unit]}
+
+    return blocks.mapped(lengths, found, "window bigint, start bigint, end bigint, center bigint")

@@ -91,6 +91,12 @@ def subchunks(documents: DataFrame, split: Callable[[Column], Column] = sentence
     return rows.select("doc_id", "ordinal", *(["piece"] if most is not None else []), "text", "token_start", "token_end", prompt_token_count(F.col("text")).alias("prompt_tokens"))
 
 
+def unit_lengths(documents: DataFrame, split: Callable[[Column], Column] = sentences, merge: bool = False) -> DataFrame:
+    """(doc_id, lengths): the tokens of each of a document's units in order, a row for each document of (doc_id, text)."""
+    units = split(F.col("text"))
+    return documents.select("doc_id", F.transform(merged_sentences(units) if merge else units, token_count).alias("lengths"))
+
+
 def uncovered(documents: DataFrame, units: DataFrame) -> DataFrame:
     """(doc_id, source_chars, unit_chars, covered): do a document's units hold all of its characters that are no space?"""
     bare = lambda c: F.regexp_replace(c, f"[{SPACE_CLASS}]", "")

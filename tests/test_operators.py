@@ -161,3 +161,38 @@ def test_dataset_rules(spark):
     texts, spans = qa_datasets.serialized(p)
     t = texts.first().text
     assert t == "T\naa\n\nbbb" and [t[s.start : s.end] for s in spans.orderBy("position").collect()] == ["aa", "bbb"]
+
+
+def by_places(n, c, budget, overhead):
+    """The rule of centered_windows' SQL, plainly: (first, last) over the places that units within reach take, in order."""
+    ts, size, used, l, r = [sum(n[:i]) for i in range(len(n))], len(n), 0, c, c
+    m = min(c, size - 1 - c)
+    place = lambda j: 0 if j == c else m + abs(j - c) if abs(j - c) > m else 2 * abs(j - c) - (j < c)
+    for j in sorted((j for j in range(size) if abs(ts[j] - ts[c]) <= budget), key=place):
+        used += n[j]
+        if used + overhead > budget and j != c:
+            break
+        l, r = min(l, j), max(r, j)
+    return l, r, n[c] + overhead >= budget
+
+
+def test_windows_and_pruned_regions_of_lengths(spark, monkeypatch):
+    """Many units a window, units over the budget and over a chunk, none at all: no shuffle, no row for each unit and neighbour."""
+    from quern.operators import blocks
+
+    rng = random.Random(5)
+    docs = [[rng.choice([1, 2, 3, 9, 40]) if k % 3 else rng.randrange(1, 90) for _ in range(rng.randrange(60))] for k in range(50)] + [None]
+    monkeypatch.setattr(blocks, "BLOCK_UNITS", 100)
+    rows = spark.createDataFrame(list(enumerate(docs)), "doc_id long, lengths array<int>").repartition(3)
+    windows, kept = regions.windows_of_lengths(rows, 30, 3), regions.pruned_of_lengths(rows, 30, 50, 3)
+    got = sorted(map(tuple, windows.collect()))
+    assert got == sorted((d, c, *by_places(n, c, 30, 3)) for d, n in enumerate(docs) for c in range(len(n or [])))
+    for frame in (windows, kept):
+        plan = frame._jdf.queryExecution().executedPlan().toString()
+        assert "Window " not in plan and "Generate" not in plan and "hashpartitioning" not in plan
+    units = spark.createDataFrame([(d, i, sum(n[:i]), sum(n[: i + 1])) for d, n in enumerate(docs) for i in range(len(n or []))], "doc_id long, ordinal int, token_start long, token_end long")
+    assert sorted(map(tuple, regions.centred_windows(units, 30).collect())) == got
+    assert "Generate" not in regions.centred_windows(units, 30)._jdf.queryExecution().executedPlan().toString()
+    assert sorted(map(tuple, kept.collect())) == sorted(map(tuple, regions.pruned(windows, chunking.chunks(units, 50)).select("doc_id", "window", "start", "end", "center").collect()))
+    with pytest.raises(Exception, match="without gaps"):
+        regions.centred_windows(units.where("ordinal != 1"), 30).collect()
