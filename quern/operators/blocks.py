@@ -37,13 +37,13 @@ class Block:
         return self.start - self.start[self.first[self.doc]]
 
 
-def blocks(lengths: pa.Array) -> Iterator[tuple[int, Block]]:
-    """(number of the first row, block) of a list column; a null list is empty."""
+def blocks(lengths: pa.Array, most: int) -> Iterator[tuple[int, Block]]:
+    """(number of the first row, block) of a list column, `most` units a block or one document; a null list is empty."""
     counts = np.asarray(lengths.value_lengths().fill_null(0), np.int64)
     flat, off = np.asarray(lengths.flatten()), np.concatenate([[0], np.cumsum(counts)])
     a = 0
     while a < len(counts):
-        b = max(a + 1, int(np.searchsorted(off, off[a] + BLOCK_UNITS, "right")) - 1)
+        b = max(a + 1, int(np.searchsorted(off, off[a] + most, "right")) - 1)
         yield a, Block(counts[a:b], flat[off[a] : off[b]])
         a = b
 
@@ -55,7 +55,7 @@ def mapped(lengths: DataFrame, found: Callable[[Block], tuple[np.ndarray, dict[s
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             ids = batch.column("doc_id")
-            for at, block in blocks(batch.column("lengths")):
+            for at, block in blocks(batch.column("lengths"), BLOCK_UNITS):
                 doc, columns = found(block)
                 yield pa.RecordBatch.from_arrays([ids.take(pa.array(doc + at)), *map(pa.array, columns.values())], ["doc_id", *columns])
 

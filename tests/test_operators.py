@@ -196,3 +196,63 @@ def test_windows_and_pruned_regions_of_lengths(spark, monkeypatch):
     assert sorted(map(tuple, kept.collect())) == sorted(map(tuple, regions.pruned(windows, chunking.chunks(units, 50)).select("doc_id", "window", "start", "end", "center").collect()))
     with pytest.raises(Exception, match="without gaps"):
         regions.centred_windows(units.where("ordinal != 1"), 30).collect()
+
+
+def test_top_k_memory_is_that_of_a_tile():
+    """A full batch of rows against a full block of queries: no array of all scores."""
+    import tracemalloc
+    from types import SimpleNamespace
+
+    import numpy as np
+    import pyarrow as pa
+
+    rng = np.random.default_rng(6)
+    q, x = rng.normal(size=(4096, 8)), rng.normal(size=(10_000, 8))
+    found = []
+
+    class Corpus:
+        sparkSession = SimpleNamespace(sparkContext=SimpleNamespace(broadcast=lambda v: SimpleNamespace(value=v)))
+
+        def select(self, *names):
+            return self
+
+        def mapInArrow(self, run, schema):
+            batch = pa.RecordBatch.from_arrays([pa.array(np.arange(10_000)), pa.FixedSizeListArray.from_arrays(x.ravel(), 8).cast(pa.list_(pa.float64()))], ["id", "vector"])
+            tracemalloc.start()
+            found.extend(pa.Table.from_batches(list(run(iter([batch])))).to_pylist())
+            found.append(tracemalloc.get_traced_memory()[1])
+            tracemalloc.stop()
+            raise StopIteration
+
+    rows = SimpleNamespace(select=lambda *_: SimpleNamespace(toLocalIterator=lambda: ((i, v) for i, v in enumerate(q))))
+    with pytest.raises(StopIteration):
+        retrieval.top_k(rows, Corpus(), 5, "ip")
+    assert found.pop() < 100e6
+    best = {}
+    for r in found:
+        best.setdefault(r["query_id"], []).append(r["id"])
+    assert len(best) == 4096 and all(set(best[i]) == set(np.argsort(-(x @ q[i]))[:5]) for i in range(0, 4096, 97))
+
+
+def test_top_k_of_groups_over_tiles_and_tasks(spark, monkeypatch):
+    """Against all scores: equal vectors, groups over several tasks, an all-zero vector, each metric."""
+    import numpy as np
+
+    monkeypatch.setattr(retrieval, "ROW_TILE", 7)
+    monkeypatch.setattr(retrieval, "QUERY_TILE", 2)
+    rng = np.random.default_rng(7)
+    x = np.round(rng.normal(size=(240, 4)), 1)
+    x[60:120], x[5] = x[:60], 0
+    q = np.vstack([x[[5, 8, 30]], rng.normal(size=(2, 4))])
+    corpus = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)], "id long, vector array<double>").repartition(5)
+    queries = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(q)], "query_id long, vector array<double>")
+    s = q @ x.T
+    norms = np.maximum(np.linalg.norm(q, axis=1)[:, None] * np.linalg.norm(x, axis=1), 1e-7)
+    full = {"cosine": s / norms, "ip": s, "l2": -((q[:, None] - x[None]) ** 2).sum(2)}
+    for metric, per in (("cosine", 1), ("ip", 6), ("l2", 1), ("cosine", 6)):
+        scores = np.round(full[metric], 4).reshape(len(q), -1, per).max(2)
+        wanted = {(i, int(j)) for i in range(len(q)) for j in sorted(range(scores.shape[1]), key=lambda j: (-scores[i, j], j))[:9]}  # noqa: B023
+        got = retrieval.top_k(queries, corpus, 9, metric, 4, per=per).collect()
+        assert {(r.query_id, r.id) for r in got} == wanted and len(got) == 45, (metric, per)
+    with pytest.raises(Exception, match="finite"):
+        retrieval.top_k(queries, corpus.unionAll(spark.createDataFrame([(999, [float("nan")] * 4)], corpus.schema)), 3).collect()
