@@ -37,15 +37,21 @@ class Block:
         return self.start - self.start[self.first[self.doc]]
 
 
+def cut(sizes: np.ndarray, most: int) -> Iterator[tuple[int, int]]:
+    """Ranges [a, b) of rows of these sizes, `most` in all each, or one row."""
+    off, a = np.concatenate([[0], np.cumsum(sizes)]), 0
+    while a < len(sizes):
+        b = max(a + 1, int(np.searchsorted(off, off[a] + most, "right")) - 1)
+        yield a, b
+        a = b
+
+
 def blocks(lengths: pa.Array, most: int) -> Iterator[tuple[int, Block]]:
     """(number of the first row, block) of a list column, `most` units a block or one document; a null list is empty."""
     counts = np.asarray(lengths.value_lengths().fill_null(0), np.int64)
     flat, off = np.asarray(lengths.flatten()), np.concatenate([[0], np.cumsum(counts)])
-    a = 0
-    while a < len(counts):
-        b = max(a + 1, int(np.searchsorted(off, off[a] + most, "right")) - 1)
+    for a, b in cut(counts, most):
         yield a, Block(counts[a:b], flat[off[a] : off[b]])
-        a = b
 
 
 def mapped(lengths: DataFrame, found: Callable[[Block], tuple[np.ndarray, dict[str, np.ndarray]]], kinds: str) -> DataFrame:

@@ -62,3 +62,34 @@ def test_codec_sample_is_held_apart(spark):
     assert training.count() == 30 and aside.count() == 7 and training.join(aside, "id").count() == 0
     codes, centroids, buckets = codec.built(vectors, 4)
     assert codes.count() == 400 and centroids.count() == 4 and len(buckets.first().cutoffs) == 3
+
+
+def test_token_vectors_of_a_full_batch_are_made_in_blocks():
+    """10,000 texts in one Arrow batch: memory goes by the block, and every token is there."""
+    import tracemalloc
+
+    import pyarrow as pa
+
+    texts = [None, "", *(f"one two, {k} a" * 20 for k in range(9_998))]
+    held = []
+
+    class Rows:
+        def select(self, *_):
+            return self
+
+        def mapInArrow(self, run, schema):
+            batch = pa.RecordBatch.from_arrays([pa.array(range(len(texts))), pa.array(texts)], ["id", "text"])
+            tracemalloc.start()
+            for out in run(iter([batch])):
+                held.append((out.num_rows, out.column("id")[0].as_py(), out.column("token")[0].as_py(), out.column("position")[-1].as_py(), out.column("vector")[-1].as_py()))
+            held.append(tracemalloc.get_traced_memory()[1])
+            tracemalloc.stop()
+            return self
+
+    from unittest import mock
+
+    with mock.patch.object(encoding.F, "col"):
+        encoding.token_embedded(Rows())
+    assert held.pop() < 60e6
+    assert sum(n for n, *_ in held) == sum(len(encoding._TOKEN.findall(t or "")) for t in texts)
+    assert held[0][1:3] == (2, "one") and held[-1][3] == len(encoding._TOKEN.findall(texts[-1])) - 1 and held[-1][4] == [1.0, 0.0, 0.0, 0.0]
