@@ -12,7 +12,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from quern.functions.text import SPACE_CLASS, prompt_token_count, stripped, token_count, tokens
+from quern.functions.text import SPACE_CLASS, TOKEN, prompt_token_count, stripped, token_count, tokens
 
 #: Ends of text behind which a sentence goes on, and initials.
 TITLES = r"(?:\b(?:v|vs|No|Mr|Mrs|Ms|Dr|Prof|Sr|Jr)|\b(?:U\.S|U\.K|D\.C))\.$"
@@ -97,6 +97,12 @@ def unit_lengths(documents: DataFrame, split: Callable[[Column], Column] = sente
     return documents.select("doc_id", F.transform(merged_sentences(units) if merge else units, token_count).alias("lengths"))
 
 
+def unit_counts(documents: DataFrame, split: Callable[[Column], Column] = sentences, merge: bool = False) -> DataFrame:
+    """(doc_id, n): how many of a document's units have tokens; no unit is cut into them."""
+    units = split(F.col("text"))
+    return documents.select("doc_id", F.size(F.filter(merged_sentences(units) if merge else units, lambda u: u.rlike(TOKEN))).alias("n"))
+
+
 def uncovered(documents: DataFrame, units: DataFrame) -> DataFrame:
     """(doc_id, source_chars, unit_chars, covered): do a document's units hold all of its characters that are no space?"""
     bare = lambda c: F.regexp_replace(c, f"[{SPACE_CLASS}]", "")

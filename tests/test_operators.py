@@ -256,3 +256,24 @@ def test_top_k_of_groups_over_tiles_and_tasks(spark, monkeypatch):
         assert {(r.query_id, r.id) for r in got} == wanted and len(got) == 45, (metric, per)
     with pytest.raises(Exception, match="finite"):
         retrieval.top_k(queries, corpus.unionAll(spark.createDataFrame([(999, [float("nan")] * 4)], corpus.schema)), 3).collect()
+
+
+def test_chunk_ranges_come_from_a_documents_own_row(spark):
+    """The same ranges as from members with dense ids, over groups of ids; no unit is shuffled."""
+    rng = random.Random(8)
+    ids = [*range(12), 65_535, 65_536, 70_000, 400_000, -3]
+    texts = ["\n".join(" ".join("w" * rng.randrange(1, 4) for _ in range(rng.choice([1, 3, 8, 40]))) for _ in range(rng.randrange(30))) for _ in ids[2:]]
+    docs = spark.createDataFrame(list(zip(ids, [None, " \n ", *texts])), "doc_id long, text string").repartition(3)
+    got = chunking.chunk_ranges_of_lengths(splitting.unit_lengths(docs), splitting.unit_counts(docs), 16)
+    units = splitting.subchunks(docs)
+    members = chunking.window_members(units, 16).join(chunking.dense_ids(units).select("doc_id", F.col("ordinal").cast("bigint").alias("ordinal"), "subchunk_id"), ["doc_id", "ordinal"])
+    wanted = chunking.packed_ranges(members.select(F.struct("doc_id", "window").alias("chunk_id"), "subchunk_id"))
+    assert sorted(map(tuple, got.collect())) == sorted((*r.chunk_id, r.start, r.end) for r in wanted.collect()) and got.count() > 100
+
+
+def test_range_pack_shuffles_chunks_alone(spark, tmp_path):
+    from quern.plans import queries
+
+    spark.createDataFrame([(1, "a b. c")], "doc_id long, text string").write.parquet(f"{tmp_path}/documents.parquet")
+    plan = queries.range_pack(spark, str(tmp_path))._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("FileScan parquet") <= 2 and "hashpartitioning(doc_id" not in plan and "Generate" not in plan
