@@ -45,10 +45,14 @@ def quantized(x: Column, cutoffs: Column) -> Column:
 
 
 def packed(values: Column) -> Column:
-    """Bytes (as numbers) of two-bit values, four a byte: the first in the top bits, each with its low bit first."""
+    """Bytes (as numbers) of two-bit values, four a byte: the first in the top bits, each with its low bit first.
+
+    The values are bound once a vector, not computed again for each use of each byte.
+    """
     swapped = lambda v: F.shiftleft(v.bitwiseAND(F.lit(1)), 1) + F.shiftright(v, 1)
-    at = lambda i, k: swapped(F.get(values, i * 4 + k))
-    return F.transform(F.sequence(F.lit(0), (F.size(values) / 4).cast("int") - 1), lambda i: at(i, F.lit(0)) * 64 + at(i, F.lit(1)) * 16 + at(i, F.lit(2)) * 4 + at(i, F.lit(3)))
+    at = lambda a, i, k: swapped(F.get(a, i * 4 + k))
+    bytes_of = lambda a: F.transform(F.sequence(F.lit(0), (F.size(a) / 4).cast("int") - 1), lambda i: at(a, i, F.lit(0)) * 64 + at(a, i, F.lit(1)) * 16 + at(a, i, F.lit(2)) * 4 + at(a, i, F.lit(3)))
+    return F.get(F.transform(F.array(values), bytes_of), F.lit(0))
 
 
 def unpacked(numbers: Column) -> Column:

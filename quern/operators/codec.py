@@ -15,6 +15,8 @@ from quern.functions.vectors import EPSILON, dot, norm, normalized, packed, quan
 MOST_CENTROIDS = 1 << 16
 #: Vectors that train one centre, and the most held out for the quartiles.
 PER_CENTROID, HELD_OUT = 100, 50_000
+#: Vectors of a sample to one task: a limit leaves all of them in a single one.
+SAMPLE_PART = 2_000
 
 
 def trained_centroids(vectors: DataFrame, k: int, iterations: int = 4, seed: int = 123) -> DataFrame:
@@ -32,7 +34,7 @@ def trained_centroids(vectors: DataFrame, k: int, iterations: int = 4, seed: int
 def split_sample(vectors: DataFrame, k: int, per: int = PER_CENTROID, held_out: int = HELD_OUT) -> tuple[DataFrame, DataFrame]:
     """(training, held out) of vectors (id, vector), by a hash of the id: a twentieth is held out, and neither part exceeds its bound."""
     aside = F.pmod(F.xxhash64("id"), F.lit(20)) == 0
-    least = lambda rows, n: rows.orderBy(F.xxhash64("id"), "id").limit(n)
+    least = lambda rows, n: rows.orderBy(F.xxhash64("id"), "id").limit(n).repartition(-(-n // SAMPLE_PART), "id")
     return least(vectors.where(~aside), k * per), least(vectors.where(aside), held_out)
 
 

@@ -93,3 +93,14 @@ def test_token_vectors_of_a_full_batch_are_made_in_blocks():
     assert held.pop() < 60e6
     assert sum(n for n, *_ in held) == sum(len(encoding._TOKEN.findall(t or "")) for t in texts)
     assert held[0][1:3] == (2, "one") and held[-1][3] == len(encoding._TOKEN.findall(texts[-1])) - 1 and held[-1][4] == [1.0, 0.0, 0.0, 0.0]
+
+
+def test_codec_work_is_dealt_out(spark):
+    """The training sample goes to several tasks, and a code's values are computed once a vector."""
+    from quern.functions.vectors import packed
+
+    vectors = spark.range(9_000).select("id", F.array(F.sin("id"), F.cos("id")).alias("vector"))
+    training, aside = codec.split_sample(vectors, 50, per=100, held_out=300)
+    assert training.rdd.getNumPartitions() == 3 and aside.rdd.getNumPartitions() == 1 and training.count() == 5_000 and aside.count() == 300
+    assert str(packed(F.col("residual_values"))).count("residual_values") == 1
+    assert spark.range(1).select(packed(F.array(*map(F.lit, (1, 0, 2, 3, 3, 3, 0, 1))))).first()[0] == [135, 242]
